@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def local_session(cpus: int = 8, app: str = "ocellus", **conf: str) -> SparkSess
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -26,8 +29,23 @@ def local_session(cpus: int = 8, app: str = "ocellus", **conf: str) -> SparkSess
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ocellus_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="ocellus-code-")) / "ocellus_code.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path("ocellus") / path.relative_to(root))
+    sc.addPyFile(str(made))  # Spark's own file server passes it on
+    sc._ocellus_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` below ``sf_dir``, read by Spark so that any store Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
