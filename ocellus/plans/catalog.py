@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ocellus.plans import perception
+
+QUERIES: dict = {**perception.QUERIES}
+ORACLE_SQL: dict[str, str] = {**perception.ORACLE_SQL}
