@@ -5,6 +5,7 @@ A rectangle is any four columns (x, y, w, h), half-open: [x, x + w) by [y, y + h
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -115,10 +116,14 @@ def corners(r: Rect) -> Column:
 
 def bounding_rect(points: Column) -> Column:
     """Of an array of points; no points give an empty rectangle at 0."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     low = lambda v: F.coalesce(F.array_min(v), F.lit(0.0))
     span = lambda v: F.coalesce(F.array_max(v) - F.array_min(v), F.lit(0.0))
-    return F.struct(low(xs).alias("x"), low(ys).alias("y"), span(xs).alias("w"), span(ys).alias("h"))
+
+    def box(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return F.struct(low(xs).alias("x"), low(ys).alias("y"), span(xs).alias("w"), span(ys).alias("h"))
+
+    return _let(points, box)
 
 
 def enclosing(r: Rect) -> Rect:
@@ -147,6 +152,11 @@ def context_bounds(r: Rect, ratio: float, least: float, most: float) -> Rect:
     return Rect(r.x - px, r.y - py, r.w + 2 * px, r.h + 2 * py)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` in the expression once: uses of a column are copies, and copies of copies grow without bound."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 # -- transforms: an array of 9 doubles, row by row ------------------------------------------------------------------
 
 
@@ -192,7 +202,12 @@ def letterbox(w: Column, h: Column, to_w: Column, to_h: Column) -> Column:
 
 def compose(first: Column, second: Column) -> Column:
     """Apply ``first``, then ``second``."""
-    return F.array(*(sum((second[3 * i + k] * first[3 * k + j] for k in range(1, 3)), second[3 * i] * first[j]) for i in range(3) for j in range(3)))
+
+    def product(p: Column) -> Column:
+        a, b = p["second"], p["first"]
+        return F.array(*(a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)))
+
+    return _let(F.struct(first.alias("first"), second.alias("second")), product)
 
 
 def determinant(m: Column) -> Column:
@@ -202,18 +217,22 @@ def determinant(m: Column) -> Column:
 def inverse(m: Column) -> Column:
     """Null where the determinant is below 1e-12 in size."""
     minors = ((4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3))
-    det = determinant(m)
-    return F.when(F.abs(det) >= 1e-12, F.array(*((m[a] * m[b] - m[c] * m[d]) / det for a, b, c, d in minors)))
+    adjugate = lambda m, det: F.array(*((m[a] * m[b] - m[c] * m[d]) / det for a, b, c, d in minors))
+    return _let(m, lambda m: _let(determinant(m), lambda det: F.when(F.abs(det) >= 1e-12, adjugate(m, det))))
 
 
 def map_point(m: Column, x: Column, y: Column) -> Column:
-    w = m[6] * x + m[7] * y + m[8]
-    return F.struct(((m[0] * x + m[1] * y + m[2]) / w).alias("x"), ((m[3] * x + m[4] * y + m[5]) / w).alias("y"))
+    def mapped(p: Column) -> Column:
+        m, x, y = p["m"], p["x"], p["y"]
+        w = m[6] * x + m[7] * y + m[8]
+        return F.struct(((m[0] * x + m[1] * y + m[2]) / w).alias("x"), ((m[3] * x + m[4] * y + m[5]) / w).alias("y"))
+
+    return _let(F.struct(m.alias("m"), x.alias("x"), y.alias("y")), mapped)
 
 
 def map_rect(m: Column, r: Rect) -> Column:
     """The bounding rectangle of the mapped corners."""
-    return bounding_rect(F.transform(corners(r), lambda p: map_point(m, p["x"], p["y"])))
+    return _let(m, lambda m: bounding_rect(F.transform(corners(r), lambda p: map_point(m, p["x"], p["y"]))))
 
 
 # -- segments --------------------------------------------------------------------------------------------------------

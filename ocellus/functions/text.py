@@ -41,7 +41,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def truncated(text: Column, most: int = 1024) -> Column:
     """The first ``most`` bytes, without a character cut in two at the end."""
-    part = F.decode(F.substring(F.encode(text, "UTF-8"), 1, most - 3), "UTF-8")
+    part = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
     return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(part, "�+$", ""))
 
 

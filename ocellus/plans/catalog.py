@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ocellus.plans import perception
+from ocellus.plans import perception, tracking
 
-QUERIES: dict = {**perception.QUERIES}
-ORACLE_SQL: dict[str, str] = {**perception.ORACLE_SQL}
+QUERIES: dict = {**perception.QUERIES, **tracking.QUERIES}
+ORACLE_SQL: dict[str, str] = {**perception.ORACLE_SQL, **tracking.ORACLE_SQL}
