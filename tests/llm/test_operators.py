@@ -1,0 +1,190 @@
+"""The operators on small awkward tables: nulls, empty and long texts, ties, repeated rows, extra columns, no rows."""
+
+import hashlib
+from collections import Counter
+
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ocellus.llm import bpe, chat, mixing, neardup, quality, rules, sharding, token_counts, topk, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, size long, s string, label string, kept int"
+LONG = " ".join(f"w{i % 997}" for i in range(30_000))
+ROWS = [
+    (1, "one two three <|endoftext|> four  <|endoftext|>", "en", "a", 1),
+    (2, None, "en", "a", 1),
+    (3, "", None, None, None),
+    (4, LONG, "en", "b", 1),
+    (4, LONG, "en", "b", 1),
+    (5, "one two three", "de", "b", 1),
+    (None, "no id", "en", None, 1),
+    (None, "no id either", "en", "c", 1),
+    (6, "  \n\t ", "en", "c", 1),
+    (7, "x²́ 漢字 don't", "zz", "c", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, "clash", 9, "clash", "clash", 0) for r in ROWS], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (5, 0, 1), (4, None, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def test_token_counts(docs, none):
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    want = Counter((r[0], len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS)
+    for head in (0, 4, 262_144):
+        got = token_counts.count_tokens(docs, path, head_size=max(head, 1)).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+        assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    assert token_counts.count_tokens(none, path).count() == 0
+
+
+def test_bpe_round_trip(docs, none):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert Counter((r.doc_id, bytes(r.bytes)) for r in got) == Counter((r[0], (r[1] or "").encode()) for r in ROWS)
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_mix_reaches_its_targets(docs, none):
+    mixed = mixing.mix(docs, 1000).select("row.doc_id", "row.source", "size", "source_size", "target", "taken", "draws").collect()
+    assert len(mixed) == len(ROWS) and mixing.mix(none).count() == 0
+    assert all(0 <= r.taken <= 2 * r.size for r in mixed)
+    assert sum({r.source: r.target for r in mixed}.values()) == pytest.approx(1.5 * sum(r["size"] for r in mixed))
+    again = mixing.mix(docs, 1000).select("row.doc_id", "row.source", "size", "source_size", "target", "taken", "draws").collect()
+    assert Counter(map(str, mixed)) == Counter(map(str, again))
+    rows = mixing.mixed_rows(docs, 1000)
+    assert rows.columns == docs.columns and rows.count() == sum(len(r.draws) for r in mixed)
+
+
+def test_water_level(spark):
+    sized = spark.createDataFrame([("=a", 10), ("=b", 100), ("=c", 100)], "s string, size long")
+    got = {r.s: r.target for r in mixing._sources(sized).collect()}  # weights 5, 2, 1; 315 words; a stops at 20
+    assert got["=a"] == 20 and got["=b"] == pytest.approx(295 * 2 / 3) and got["=c"] == pytest.approx(295 / 3)
+
+
+def test_split_tree_keeps_quotas(spark):
+    q = spark.createDataFrame([([100, 50, 0, 7, 1000],)], "quota array<long>")
+    got = mixing.split_tree(q, 11).orderBy("shard").collect()
+    assert [sum(x) for x in zip(*(r.quota for r in got), strict=True)] == [100, 50, 0, 7, 1000]
+    assert all(sum(r.quota) in (105, 106) for r in got)
+    assert [r.first for r in got] == [[sum(s.quota[i] for s in got[:k]) for i in range(5)] for k in range(11)]
+
+
+def test_top_k_edge_cases(spark):
+    rows = [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [-1.0, -0.001]), (7, [1.0, 2.0, 3.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.top_k(v, v.where("vec_id % 100 = 0")).collect()
+    best = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 0)
+    assert best == [(1, 1, 1024**2 + 512**2), (2, 100, 1024**2 + 512**2), (3, 6, -(1024**2) - 1024)]
+    assert topk.top_k(v.where("false"), v.where("false")).count() == 0
+
+
+def test_classifier_edges(docs, none, labels):
+    for op, fit in ((quality, quality.learn), (toxicity, toxicity.learn)):
+        model = fit(docs, labels)
+        got = op.score(docs, model).collect()
+        assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= op.THRESHOLD) for r in got)
+        assert all(not r.held_out for r in got if r.doc_id is None)
+        assert op.score(none, fit(none, labels.where("false"))).count() == 0
+
+
+def test_chat_digests(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", "</s>[INST] a\\b", 1), (1, 1, "assistant", None, 1), (2, None, None, "é", 1), (2, 0, "assistant", "é" * 500, 1), (None, 3, "user", "x", 1)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(conv, path), path).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha("user\nhi\nassistant\n\nassistant\n</s>[INST] a\\b\n") and got[1].loss_sha256 == sha("</s>[INST] a\\b") and got[1].n_turns == 3
+    assert got[2].turns_sha256 == sha("\né\nassistant\n" + "é" * 500 + "\n") and got[2].loss_chars == 500 and got[None].loss_chars == 0
+    whole = {r.conv_id: r for r in chat.assemble(chat.format_turns(conv, path)).collect()}
+    t = chat.template(path)
+    kept = [i for i, m in zip(whole[1].ids, whole[1].mask, strict=True) if m]
+    assert chat.unescape(t.decode(kept)) == "</s>[INST] a\\b"
+    assert chat.read_back(chat.format_turns(conv.where("false"), path), path).count() == 0
+
+
+def test_shards_hold_every_row(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fanout=2)
+    for i in range(3):
+        store.append(docs, i)
+    before = store.versions()[-1]
+    store.compact()
+    rows = store.read()
+    assert rows.count() == 3 * len(ROWS) and [c for c in rows.columns if c[:2] != "__"] == docs.columns
+    assert len(store.manifest()) < 3 * 4 and store.versions()[-1] > before
+    with pytest.raises(sharding.CommitConflict):
+        store.commit([], store.versions()[-1])
+    last = store.manifest()
+    store.append(docs.where("false"))
+    assert store.manifest() == last
+
+
+def test_rules_edges(docs, none):
+    got = {(r.doc_id, r.n_words): r for r in rules.judge(docs).collect()}
+    assert rules.judge(docs).count() == len(ROWS) and rules.judge(none).count() == 0
+    assert got[(2, 0)].base_failed and not got[(2, 0)].kept and got[(6, 0)].word_chars == 0
+    assert got[(4, 30_000)].n_repeat_words == 30_000 and got[(4, 30_000)].base_failed
+
+
+def test_kneser_ney_sums_to_one(spark):
+    counts = rules.ngram_counts(spark.createDataFrame([("en", "the cat sat on the mat. the dog ran." * 3), ("en", "a b c")], "lang string, text string"))
+    table = rules.kneser_ney(counts).where("k = 1").collect()
+    total = sum(pow(2.718281828459045, -r.cost * rules.UNIT) for r in table)
+    assert 0.5 < total <= 1.001
+
+
+def components(sets):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", " ", "one", "One", "one two", "two one"]
+    for _ in range(12):
+        base = [word() for _ in range(60)]
+        for _ in range(rng.randint(1, 14)):
+            copy = base[:]
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(60)] = word()
+            texts.append(" ".join(copy))
+    own = neardup.Shingler()
+    roots = components([set(own.set_of(t or "").tolist()) for t in texts])
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, class int")
+    got = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == roots
+    assert all(got[i].kept == (roots[i] == i) for i in got)
+
+
+def test_near_duplicate_edges(docs, none):
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS) and neardup.near_duplicates(none).count() == 0
+    assert [r.component_id for r in got if r.doc_id == 4] == [4, 4] and all(r.kept for r in got if r.doc_id is None)
