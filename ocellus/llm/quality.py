@@ -132,13 +132,20 @@ class Network:
             out += tables[j][codes[:, j]]
         return out
 
+    def respond_lags(self, match: np.ndarray) -> np.ndarray:
+        """Distance by distance: a matrix product may round by its number of rows, and a text's score must not depend on its batch."""
+        out = match[:, :1] * self.p["g"][0]
+        for k in range(1, len(LAGS)):
+            out += match[:, k : k + 1] * self.p["g"][k]
+        return out
+
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Each text's vector of maxima, over the whole text."""
         lay = Layout(texts)
         codes, begins = lay.chunks()
         a = lay.maxima(self.respond(codes), begins, STRIDE)
         match, begins = lay.matches()
-        b = lay.maxima(match @ self.p["g"], begins, SPAN // 2)
+        b = lay.maxima(self.respond_lags(match), begins, SPAN // 2)
         return np.maximum(np.concatenate([a + self.p["c"], b + self.p["d"]], 1), 0)
 
     def probabilities(self, texts: list[bytes]) -> list[float]:
@@ -150,8 +157,7 @@ class Network:
             while until < len(texts) and (until == at or size + len(texts[until]) <= PIECE):
                 size += len(texts[until])
                 until += 1
-            # Row by row: a product with a matrix may round differently by its number of rows.
-            z.append((self.pooled(texts[at:until]) * self.p["w"]).sum(1, dtype=np.float64))
+                z.append((self.pooled(texts[at:until]) * self.p["w"]).sum(1, dtype=np.float64))
             at = until
         total = np.concatenate(z) + float(self.p["b"][0]) + self.shift if z else np.zeros(0)
         return (1 / (1 + np.exp(-np.clip(total, -30, 30)))).tolist()
