@@ -157,7 +157,11 @@ class Network:
             while until < len(texts) and (until == at or size + len(texts[until]) <= PIECE):
                 size += len(texts[until])
                 until += 1
-                z.append((self.pooled(texts[at:until]) * self.p["w"]).sum(1, dtype=np.float64))
+                terms = self.pooled(texts[at:until]).astype(np.float64) * self.p["w"]
+            part = np.zeros(len(terms))
+            for k in range(terms.shape[1]):  # in this order, however many texts there are
+                part += terms[:, k]
+            z.append(part)
             at = until
         total = np.concatenate(z) + float(self.p["b"][0]) + self.shift if z else np.zeros(0)
         return (1 / (1 + np.exp(-np.clip(total, -30, 30)))).tolist()
