@@ -63,7 +63,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(docs.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(ARRIVALS)) == i), i)
         store.compact()
     shards = spark.createDataFrame([(s.path, s.rows, s.n_bytes) for s in store.manifest()] or [("", 0, 0)], "__path string, shard_rows long, shard_bytes long")
-    rows = store.read().join(F.broadcast(shards), "__path")
+    rows = store.read().join(shards, "__path")
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("__tier").alias("tier"), "shard_rows", "shard_bytes")
 
 

@@ -6,23 +6,25 @@ target size; either ends by committing a manifest of the next number, which list
 written under another name first and then renamed: the file system lets one writer of a number succeed, readers see the old list
 or the new one, and shards of a failed attempt are never listed. ``vacuum`` deletes what no manifest from a given one on lists.
 
-Shards hold rows as they arrive, with all their columns, nulls included; repeated rows stay. Rows are dealt to files evenly, by
-no key, so no hot key matters. Very long texts make a shard larger than the target by at most one row. Appending nothing
+Shards hold rows as they arrive, with all their columns, nulls included; repeated rows stay. Rows go to files as they are
+partitioned, by no key, so no hot key matters; a very long text makes its shard larger than the target. Appending nothing
 commits a manifest that lists the same shards. All arrivals need the columns of the first.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT = 4
 TARGET_BYTES = 32 << 20
+#: Runs merged by one Spark job, each by a task of its own.
+RUNS_A_JOB = 64
 
 
 @dataclass(frozen=True)
@@ -79,62 +81,51 @@ class ShardStore:
             raise CommitConflict(f"manifest {version} exists")
         return version
 
-    def _write(self, rows: DataFrame, pieces: int, tier: int, arrival: int) -> list[Shard]:
-        """``rows`` as ``pieces`` new shards; what they hold is read back from them."""
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        rows.repartition(pieces).write.parquet(folder)
-        written = self.spark.read.schema(rows.schema).parquet(folder)
-        told = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(self.row_bytes)).alias("n"))
-        return [Shard(r["path"], tier, r["rows"], int(r["n"]), arrival) for r in told.orderBy("path").collect()]
+    def tier_of(self, n_bytes: int) -> int:
+        """0, 1 or 2: half the size that its tier is to reach, or more."""
+        return sum(2 * n_bytes >= self.target / self.fanout**k for k in (0, 1))
 
-    def _size(self, rows: DataFrame) -> int:
-        return int(rows.agg(F.sum(F.expr(self.row_bytes))).first()[0] or 0)
+    def _written(self, rows: DataFrame, arrival: int) -> list[Shard]:
+        """``rows`` as new shards, one for each partition that has any; what they hold is read back from them."""
+        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        read = self.spark.read.schema(rows.schema).parquet(folder)
+        told = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(self.row_bytes)).alias("n"))
+        return [Shard(r["path"], self.tier_of(int(r["n"])), r["rows"], int(r["n"]), arrival) for r in told.orderBy("path").collect()]
 
     def append(self, rows: DataFrame, arrival: int = 0) -> int:
-        """Add ``rows`` as shards of the lowest tier, a ``fanout``-th squared of the target each; returns the new version."""
+        """Add ``rows`` as they are partitioned, without a shuffle, as small shards; returns the new version."""
         known = self.versions()
-        size = self._size(rows)
-        shards = self._write(rows, max(1, math.ceil(size * self.fanout**2 / self.target)), 0, arrival) if size or not rows.isEmpty() else []
-        return self.commit(self.manifest() + shards, (known[-1] if known else 0) + 1)
+        return self.commit(self.manifest() + self._written(rows, arrival), (known[-1] if known else 0) + 1)
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs to merge: of each tier below the target, neighbours in order of size, cut where a run reaches the next tier's
-        size. Runs of fewer than ``fanout`` shards wait for more, unless they reach it."""
+        """Runs to merge: of each tier below the last, neighbours in order of size, cut before they go over the next tier's size by more
+        than a quarter. The last run of a tier waits for more unless it has ``fanout`` shards or half that size."""
         runs: list[list[Shard]] = []
-        for tier in range(2):
-            run: list[Shard] = []
+        for tier in (0, 1):
             goal = self.target / self.fanout ** (1 - tier)
+            run: list[Shard] = []
             for shard in sorted((s for s in shards if s.tier == tier), key=lambda s: (s.n_bytes, s.path)):
                 if run and sum(s.n_bytes for s in run) + shard.n_bytes > goal * 1.25:
                     runs.append(run)
                     run = []
                 run.append(shard)
-            if len(run) >= self.fanout or sum(s.n_bytes for s in run) >= goal:
+            if len(run) >= self.fanout or 2 * sum(s.n_bytes for s in run) >= goal:
                 runs.append(run)
-        return [r for r in runs if len(r) > 1 or r[0].n_bytes * self.fanout >= self.target]
+        return [r for r in runs if len(r) > 1]
 
     def compact(self) -> int:
-        """Merge until no tier has a run; each round is one job and one commit."""
+        """Merge until no tier has a run; each round is one commit. A run is one task that reads its shards and writes one file, at most 1.25
+        times the target: no shuffle, whatever the rows' keys are."""
         version = self.versions()[-1]
         while runs := self.plan(shards := self.manifest()):
             schema = self.spark.read.parquet(runs[0][0].path).schema
-            # All runs of a round in one job: each shard's rows go to its run's file.
-            paths = [(s.path, i) for i, run in enumerate(runs) for s in run]
-            tiers = {i: max(s.tier for s in run) + 1 for i, run in enumerate(runs)}
-            if all(len(r) == 1 for r in runs):  # large enough already: move up without rewriting
-                done = []
-            else:
-                table = self.spark.createDataFrame([p for p in paths if len(runs[p[1]]) > 1], "path string, run int")
-                rows = self.spark.read.schema(schema).parquet(*[p for p, i in paths if len(runs[i]) > 1])
-                told = rows.withColumn("__path", F.col("_metadata.file_path")).join(F.broadcast(table.withColumnRenamed("path", "__path").withColumnRenamed("run", "__run")), "__path").drop("__path")
-                folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-                # One task a run: it holds at most 1.25 times the target, whatever the rows' keys are.
-                told.repartitionByRange(len(runs), "__run").write.partitionBy("__run").parquet(folder)
-                read = self.spark.read.parquet(folder)
-                sums = read.groupBy(F.col("_metadata.file_path").alias("path"), "__run").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(self.row_bytes)).alias("n")).orderBy("path").collect()
-                done = [Shard(r["path"], tiers[r["__run"]], r["rows"], int(r["n"]), max(s.arrival for s in runs[r["__run"]])) for r in sums]
-            done += [Shard(**(asdict(r[0]) | {"tier": r[0].tier + 1})) for r in runs if len(r) == 1]
-            gone = {p for p, _ in paths}
+            done: list[Shard] = []
+            for i in range(0, len(runs), RUNS_A_JOB):
+                part = runs[i : i + RUNS_A_JOB]
+                each = [self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in part]
+                done += self._written(reduce(DataFrame.union, each), max(s.arrival for run in part for s in run))
+            gone = {s.path for run in runs for s in run}
             version = self.commit([s for s in shards if s.path not in gone] + done, version + 1)
             self.vacuum(version)
         return version
@@ -157,4 +148,4 @@ class ShardStore:
         table = self.spark.createDataFrame([(s.path, s.tier) for s in shards], "__path string, __tier int")
         first = self.spark.read.parquet(shards[0].path)
         rows = self.spark.read.schema(first.schema).parquet(*[s.path for s in shards]).withColumn("__path", F.col("_metadata.file_path"))
-        return rows.join(F.broadcast(table), "__path")
+        return rows.join(table, "__path")  # by its measured size, as the session's threshold has it
