@@ -99,16 +99,14 @@ def global_shift(frames: DataFrame, side: int = 8, most: int = 2) -> DataFrame:
     go to the smallest radius, then dy, then dx. confidence compares the best with the mean of the others."""
     told = with_previous(frames).where("prev_px is not null")
     span = range(-most, most + 1)
-    inner = range(most, side - most)
-
-    def sad(dy: int, dx: int) -> Column:
-        terms = [F.abs(F.col("prev_px")[y * side + x] - F.col("px")[(y + dy) * side + x + dx]) for y in inner for x in inner]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
-
-    offsets = F.array(*(F.struct(sad(dy, dx).cast("long").alias("sad"), F.lit(max(abs(dx), abs(dy))).alias("radius"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in span for dx in span))
+    inner = side - 2 * most
+    moves = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in span for dx in span))
+    cells = F.sequence(F.lit(0), F.lit(inner * inner - 1))
+    place = lambda k: (F.floor(k / inner) + most) * side + F.pmod(k, F.lit(inner)) + most
+    # Higher-order functions: written out, the 25 sums make more code than compiling it is worth.
+    at = lambda px, i: F.get(F.col(px), i.cast("int"))
+    sad = lambda m: F.aggregate(cells, F.lit(0).cast("long"), lambda a, k: a + F.abs(at("prev_px", place(k)) - at("px", place(k) + m["dy"] * side + m["dx"])))
+    offsets = F.transform(moves, lambda m: F.struct(sad(m).alias("sad"), F.greatest(F.abs(m["dy"]), F.abs(m["dx"])).alias("radius"), m["dy"].alias("dy"), m["dx"].alias("dx")))
     told = told.withColumn("surface", offsets)
     total, best = F.aggregate("surface", F.lit(0).cast("long"), lambda a, s: a + s["sad"]), F.array_min("surface")
     n = len(span) ** 2
