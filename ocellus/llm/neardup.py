@@ -7,7 +7,8 @@ with one of 0.05 shares one with a probability of 3e-6.
 
 Equal sets are one class from the start, so groups of copies of any size cost one row. Buckets of up to ``SMALL`` classes give
 all their pairs as candidates, larger ones only pairs with their smallest class; after these have been verified and connected,
-larger buckets that still hold different components give the pairs between those. Every link is confirmed on the full sets.
+larger buckets that still hold different components compare the pairs between those within the bucket, as far as enough of their
+partial keys agree. Every link is confirmed on the full sets.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a null ``doc_id`` takes part in no link, has
 a null component and is kept; repeated rows share a class, and so component and verdict; input columns besides doc_id and text
@@ -29,6 +30,9 @@ from ocellus.runtime import cut_lineage
 
 KEYS, HASHES = 14, 3
 SMALL = 8
+#: In larger buckets, pairs across components need so many of the 2 * KEYS partial keys to agree; linked ones share 14 on average, and fewer
+#: than these with a probability of 2e-5.
+AGREE = 4
 #: Percent of the union that two linked sets share at least.
 PERCENT = 80
 WORDS = 2
@@ -177,6 +181,84 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, "u long, v long, key long")
 
 
+def _candidates(key: int, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a bucket's members to compare: of different components, of sizes that allow a link, with AGREE partial keys in
+    common at least, and with this bucket as the first that they share, so that no other bucket gives the pair again."""
+    step = max(1, 1_000_000 // len(ids))
+    for i in range(0, len(ids), step):
+        rows = slice(i, i + step)
+        near = 100 * np.minimum(n[rows, None], n) >= PERCENT * np.maximum(n[rows, None], n)
+        near &= (labels[rows, None] != labels) & (ids[rows, None] < ids)
+        x, y = np.nonzero(near)
+        for j in range(0, len(x), 100_000):
+            a, b = x[j : j + 100_000] + i, y[j : j + 100_000]
+            same = keys[a] == keys[b]
+            keep = same.sum(1) >= AGREE
+            a, b, same = a[keep], b[keep], same[keep]
+            first = _mix(keys[a, same[:, :KEYS].argmax(1)] * _C1 + keys[a, KEYS + same[:, KEYS:].argmax(1)])
+            own = first == np.uint64(key & (2**64 - 1))
+            if own.any():
+                yield a[own], b[own]
+
+
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that come sorted by their first column, as (key, other columns of its rows)."""
+    now, held = None, []
+    for batch in batches:
+        keys, *cols = (c.to_pylist() for c in batch.columns)
+        for key, *row in zip(keys, *cols, strict=True):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _linked_across(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (u, v) between different components in buckets with ``members`` (key, id, label, n, keys). Pairs are never rows: first the
+    members with anything to compare are found, then their texts meet in their buckets and are compared there."""
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _buckets_of(batches):
+            ids, labels, n = (np.array([h[c] for h in held], np.int64) for c in range(3))
+            some = np.zeros(len(held), bool)
+            for a, b in _candidates(key, ids, labels, n, np.array([h[3] for h in held], np.int64).view(np.uint64)):
+                some[a] = some[b] = True
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), key)), pa.array(ids[some]), pa.array(labels[some])], ["key", "id", "label"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler()
+
+        def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, held in _buckets_of(batches):
+                yield key, [(i, label, own.set_of(text or "")) for i, label, text in held]
+
+        for key, held in with_sets(batches):
+            ids, labels = (np.array([h[c] for h in held], np.int64) for c in range(2))
+            sets = [h[2] for h in held]
+            n = np.array(list(map(len, sets)), np.int64)
+            us, vs = [], []
+            for a, b in _candidates(key, ids, labels, n, np.stack(list(map(partial_keys, sets)))):
+                cuts = np.flatnonzero(np.diff(a, prepend=-1))
+                for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):  # all partners of one member at once
+                    mine, others = sets[a[lo]], b[lo:hi]
+                    flat = np.concatenate([sets[k] for k in others])
+                    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                    both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(n[others]) - n[others])
+                    good = others[100 * both >= PERCENT * (len(mine) + n[others] - both)]
+                    us += [int(ids[a[lo]])] * len(good)
+                    vs += ids[good].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    dealt = members.select("key", "id", "label", "n", "keys").repartition("key").sortWithinPartitions("key", "id")
+    asked = dealt.mapInArrow(involved, "key long, id long, label long").groupBy("id").agg(F.collect_list(F.struct("key", "label")).alias("asked"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(asked, "id").select("id", "text", F.explode("asked").alias("x")).select("x.key", "id", "x.label", "text")
+    return texts.repartition("key").sortWithinPartitions("key", "id").mapInArrow(compare, "u long, v long")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) whose full sets are similar enough. Each v travels to u's text, at most MEMBERS at a time."""
     # How a pair is dealt must not depend on an order: by a hash of v, over enough places for each of u's members.
@@ -232,14 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # An id may stand for two texts, if rows share it: only a class's own text counts.
     links = cut_lineage(_confirmed(_texts_of(docs, told, classes), pairs))
     labels = components(links)
-    large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").join(classes.select("id", "n"), "id").withColumn("label", F.coalesce("label", "id"))
-    mixed = large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
-    large = cut_lineage(large.join(mixed, "key"))
-    if not large.isEmpty():
-        other = large.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
-        near = (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2"))
-        more = large.join(other, "key").where(near).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-        links = links.unionByName(cut_lineage(_confirmed(_texts_of(docs, told, classes), more)))
+    large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = cut_lineage(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"))
+    if not mixed.isEmpty():
+        found_across = _linked_across(_texts_of(docs, told, classes), large.join(mixed, "key").join(classes.select("id", "n", "keys"), "id"))
+        links = links.unionByName(cut_lineage(found_across))
         labels = components(links)
     placed = classes.join(labels, "id", "left").select("class", "copies", F.coalesce("label", "id").alias("component_id"))
     total = told.count()
@@ -257,4 +336,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text per id that stands for a class."""
     return docs.where(F.col("doc_id").isNotNull())
