@@ -58,7 +58,7 @@ class Lists:
         q, up = query[used], query[used] > 0
         low_end = np.where(up, self.sorted[0, used], self.sorted[-1, used]) * q  # least that each list can add
         seen = np.zeros(n)
-        done, depth = 0, max(4 * k, n // 8)
+        done, depth = 0, max(4 * k, n // 4)  # shallower rounds cost their bounds and rule out nothing in many dimensions
         alive = np.flatnonzero(others)
         while True:
             # One round of sequential reading: entries ``done`` to ``depth`` of every list.
