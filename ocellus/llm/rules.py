@@ -4,8 +4,8 @@ The model is an interpolated modified Kneser-Ney model of order 4 over folded by
 of punctuation, and bytes from 128 on in 25 classes, 63 symbols in all besides the padding. So a language has at most 2^24
 4-grams however large the corpus is. Spark counts them over all whole texts and derives probabilities of every order; scoring
 looks them up in arrays sorted by a hash of the n-gram. A document is rejected if its log perplexity lies outside its
-language's band, which reaches ``WIDTH`` robust standard deviations to either side of the median over all documents that
-passed the simple rules.
+language's band, which reaches ``WIDTH`` robust standard deviations from the median over all distinct documents that passed the
+simple rules. Below and above it, deviations are measured apart.
 
 Defined cases: a null text has no words; a null language is one of its own; repeated rows count, and are judged, each; a null
 ``doc_id`` stays null; other columns are ignored whatever their names; an empty table gives an empty result.
@@ -29,10 +29,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MOST_REPEATED = 50
 ORDER = 4
-#: Half the band of log perplexity, in robust standard deviations.
-WIDTH = 8.0
-#: And at least this much, in nats a byte: a language with very even texts still lets ordinary ones pass.
-LEAST = 0.5
+#: How far the band of log perplexity reaches to either side, in robust standard deviations of that side.
+WIDTH = 5.0
+#: And at least this much, in nats a byte: less than one deviation of any language in the test tables, for languages whose texts hardly differ.
+LEAST = 0.01
 #: Most model entries broadcast at once, unless a single language has more (2^24 4-grams at most); languages beyond take further passes.
 GROUP_ENTRIES = 8_000_000
 #: Log probabilities are kept in this unit, as integers: sums don't depend on the order of adding.
@@ -255,12 +255,15 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """Per language: l, low and high, in thousandths like log_ppl. Medians are exact: they are taken over counts of whole thousandths."""
-    own = scored.where("not base_failed and log_ppl is not null").groupBy("l", "log_ppl").agg(F.count(F.lit(1)).alias("n"))
+    """Per language: l, low and high, in thousandths like log_ppl. Rows that agree in language, counts and log_ppl (exact copies) count once.
+    Medians are exact: they are taken over counts of whole thousandths."""
+    alike = scored.where("not base_failed and log_ppl is not null").select("l", "log_ppl", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").distinct()
+    own = alike.groupBy("l", "log_ppl").agg(F.count(F.lit(1)).alias("n"))
     middle = own.groupBy("l").agg(F.expr("percentile(log_ppl, 0.5, n)").alias("mid"))
-    spread = own.join(middle, "l").groupBy("l").agg(F.first("mid").alias("mid"), F.expr("percentile(abs(log_ppl - mid), 0.5, n)").alias("mad"))
-    reach = F.greatest(F.lit(WIDTH * 1.4826) * F.col("mad"), F.lit(LEAST * 1000))
-    return spread.select("l", (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
+    side = lambda c: F.expr(f"percentile(abs(log_ppl - mid), 0.5, n) filter (where log_ppl {c} mid)")
+    spread = own.join(middle, "l").groupBy("l").agg(F.first("mid").alias("mid"), side("<=").alias("below"), side(">=").alias("above"))
+    reach = lambda c: F.greatest(F.lit(WIDTH * 1.4826) * F.col(c), F.lit(LEAST * 1000))
+    return spread.select("l", (F.col("mid") - reach("below")).alias("low"), (F.col("mid") + reach("above")).alias("high"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

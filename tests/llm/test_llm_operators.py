@@ -1,6 +1,7 @@
 """The operators on small awkward tables: nulls, empty and long texts, ties, repeated rows, extra columns, no rows."""
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers as P
@@ -140,6 +141,27 @@ def test_rules_edges(docs, none):
     assert got[(4, 30_000)].n_repeat_words == 30_000 and got[(4, 30_000)].base_failed
 
 
+def test_perplexity_rejects_planted_junk_and_keeps_clean_texts(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeiou" if i % 2 else "bdklmnrst") for i in range(rng.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, range(len(words), 0, -1), k=n))
+    clean = [(i, prose(rng.randint(150, 400)), "en") for i in range(300)]
+    junk = [(1000 + i, " | ".join(rng.sample(words, 150)), "en") for i in range(4)]  # fragments
+    junk += [(1100 + i, prose(200).replace(" ", "*** "), "en") for i in range(4)]  # the same sign again and again
+    junk += [(1200 + i, "".join(rng.choice("qwxzvjfghp   ") for _ in range(1500)), "en") for i in range(2)]  # keys hit at random
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[i][1] for i, *_ in clean + junk)
+    assert not any(kept[i][0] for i, *_ in junk)
+    assert sum(not kept[i][0] for i, *_ in clean) <= 3
+
+
+def test_bands_count_exact_copies_once(spark):
+    scored = [("en", ppl, 60 + i, 300, 0, 0, 0, False) for i, ppl in enumerate(range(1000, 1101, 5))]
+    kinds = "l string, log_ppl long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    alone, copied = (rules.bands(spark.createDataFrame(x, kinds)).first() for x in (scored, scored + 100 * scored[:1]))
+    assert alone == copied and (alone.low, alone.high) == pytest.approx((1050 - 5 * 1.4826 * 25, 1050 + 5 * 1.4826 * 25))
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = rules.ngram_counts(spark.createDataFrame([("en", "the cat sat on the mat. the dog ran." * 3), ("en", "a b c")], "lang string, text string"))
     table = rules.kneser_ney(counts).where("k = 1").collect()
