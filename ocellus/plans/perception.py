@@ -371,6 +371,6 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    own = F.substring(F.coalesce("text", F.lit("")), 1, 200)
+    own = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("b")).withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).where("a is not null")
     return rows.select("conv_id", "turn", X.similarity(F.col("a"), F.col("b")).alias("similarity"))
