@@ -114,7 +114,8 @@ _GATE_FRAMES = "fr AS (SELECT DISTINCT source_id, seq, CASE (source_id + seq) %
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = fx.view(spark, sf_dir, _TRACKS[_TRACKS.index("(") + 1 : -1], "lineitem").withColumn("w", F.lit(10.0)).withColumn("h", F.lit(10.0))
+    # all rows: the SQL that checks takes the first four lines of an order only
+    rows = fx.view(spark, sf_dir, _TRACKS[_TRACKS.index("(") + 1 : _TRACKS.rindex(" WHERE ")], "lineitem").withColumn("w", F.lit(10.0)).withColumn("h", F.lit(10.0))
     frames = rows.select("source_id", "seq").distinct().withColumn("classification", F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("global")), (F.pmod(F.col("source_id") + F.col("seq"), F.lit(3)) + 1).cast("int")))
     rois = frames.select("source_id", "seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("roi"))
     rois = rois.withColumn("x", (F.col("roi") * 12).cast("double")).withColumn("y", ((F.col("source_id") + F.col("roi")) % 40).cast("double")).withColumn("w", F.lit(8.0)).withColumn("h", F.lit(20.0))
@@ -143,7 +144,7 @@ def redetection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TRACKS} SELECT source_id, track_id, pk, row_number() OVER (PARTITION BY source_id ORDER BY state <> 'terminated', last_verified, track_id, pk) <= count(*) OVER (PARTITION BY source_id) - 20 AS evicted FROM tk WHERE seq = 1")
 def track_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tracks(spark, sf_dir)[0].where("seq = 1").withColumn("order_id", F.col("track_id")).withColumn("track_id", F.struct("track_id", "pk"))
+    rows = _tracks(spark, sf_dir)[0].withColumn("order_id", F.col("track_id")).withColumn("track_id", F.struct("track_id", "pk"))
     return tracker.evictions(rows, 20).select("source_id", F.col("order_id").alias("track_id"), "pk", "evicted")
 
 
@@ -155,7 +156,7 @@ def layout_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compensated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifts = change.global_shift(fx.thumbs(spark, sf_dir))
-    tracks = fx.thumbs(spark, sf_dir).where("seq % 7 = 2").select("source_id", "seq", F.col("entry_id").alias("track_id"), F.lit("tracking").alias("state"), F.lit(10.0).alias("x"), F.lit(20.0).alias("y"))
+    tracks = fx.thumbs(spark, sf_dir).select("source_id", "seq", F.col("entry_id").alias("track_id"), F.lit("tracking").alias("state"), F.lit(10.0).alias("x"), F.lit(20.0).alias("y"))
     return tracker.compensated(tracks, shifts, 0.3)
 
 
