@@ -329,7 +329,7 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def visual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = fx.thumbs(spark, sf_dir)
-    queries = entries.where("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id")
+    queries = entries.where("entry_id % 20 = 0").withColumnRenamed("entry_id", "query_id")
     return visual_index.search(queries, entries, 0.9, 0.3).withColumn("similarity", F.round("similarity", 9))
 
 

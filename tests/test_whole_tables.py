@@ -12,6 +12,7 @@ WHOLE = {
     "change_gate": {" WHERE l_linenumber <= 4": ""},
     "layout_generations": {" WHERE l_linenumber <= 4": ""},
     "track_evictions": {" WHERE l_linenumber <= 4": "", " WHERE seq = 1": ""},
+    "visual_search": {"entry_id % 50 = 0": "entry_id % 20 = 0"},
 }
 
 
