@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ocellus.operators.grouping import map_groups
 
-MOST_MARKS, COLORS = 256, 8
+COLORS = 8
 #: Pixels of a label chip: per digit, and besides.
 DIGIT_W, CHIP_H, CHIP_PAD = 6, 9, 2
 
@@ -22,7 +22,7 @@ def marks(regions: DataFrame, frame_w: int, frame_h: int, frame: str = "frame_id
     h = F.least(near("y") + near("h"), F.lit(frame_h)) - y
     told = regions.select(frame, id_col, x.alias("mx"), y.alias("my"), w.alias("mw"), h.alias("mh")).where("mw > 0 and mh > 0")
     number = F.row_number().over(Window.partitionBy(frame).orderBy(id_col))
-    return told.withColumn("mark", number.cast("long")).where(F.col("mark") <= MOST_MARKS).withColumn("color", F.pmod(F.col(id_col), F.lit(COLORS)))
+    return told.withColumn("mark", number.cast("long")).withColumn("color", F.pmod(F.col(id_col), F.lit(COLORS)))
 
 
 def chips(marked: DataFrame, frame_w: int, frame_h: int, frame: str = "frame_id") -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import con, rows_of  # noqa: F401
 
+from ocellus.operators import render
 from ocellus.plans import catalog
 from ocellus.sources import fixtures as fx
 
@@ -48,3 +50,10 @@ def test_turns_are_compared_whole(spark, tmp_path):
     expected = {i: 1 - distance(raw[i - 1], raw[i]) / max(len(raw[i - 1]), len(raw[i])) if raw[i - 1] and raw[i] else 0.0 for i in range(1, len(raw))}
     got = {r.turn: r.similarity for r in catalog.QUERIES["turn_similarity"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(expected) and max(got.values()) < 1
+
+
+def test_every_region_gets_a_mark(spark):
+    regions = spark.range(300).select(F.lit(1).alias("frame_id"), F.col("id").alias("region_id"), *(F.lit(v).alias(c) for c, v in (("x", 1.0), ("y", 1.0), ("w", 5.0), ("h", 5.0))))
+    marked = render.marks(regions, 40, 30)
+    assert sorted(r.mark for r in marked.collect()) == list(range(1, 301))
+    assert render.chips(marked, 40, 30).count() == 300
