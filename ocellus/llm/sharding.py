@@ -7,7 +7,8 @@ written under another name first and then renamed: the file system lets one writ
 or the new one, and shards of a failed attempt are never listed. ``vacuum`` deletes what no manifest from a given one on lists.
 
 Shards hold rows as they arrive, with all their columns, nulls included; repeated rows stay. Rows go to files as they are
-partitioned, by no key, so no hot key matters; a very long text makes its shard larger than the target. Appending nothing
+partitioned, by no key, so no hot key matters; a partition is cut into pieces of a quarter of the target, and only a very long text
+makes its shard larger than that. Appending nothing
 commits a manifest that lists the same shards. All arrivals need the columns of the first.
 """
 
@@ -15,11 +16,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 FANOUT = 4
 TARGET_BYTES = 32 << 20
@@ -85,18 +90,34 @@ class ShardStore:
         """0, 1 or 2: half the size that its tier is to reach, or more."""
         return sum(2 * n_bytes >= self.target / self.fanout**k for k in (0, 1))
 
-    def _written(self, rows: DataFrame, arrival: int) -> list[Shard]:
-        """``rows`` as new shards, one for each partition that has any; what they hold is read back from them."""
+    def _written(self, rows: DataFrame, arrival: int, *by: str) -> list[Shard]:
+        """``rows`` as new shards, one for each partition that has any, or for each value of ``by`` in it; what they hold is read back from them."""
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+        rows.write.partitionBy(*by).parquet(folder)
         read = self.spark.read.schema(rows.schema).parquet(folder)
         told = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(self.row_bytes)).alias("n"))
         return [Shard(r["path"], self.tier_of(int(r["n"])), r["rows"], int(r["n"]), arrival) for r in told.orderBy("path").collect()]
 
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with __piece: a partition's rows up to a quarter of the target, then the next ones, and so on."""
+        most = max(1, self.target // 4)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before = 0
+            for batch in batches:
+                n = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = before + np.cumsum(n)
+                piece = (upto - n) // most
+                before = int(upto[-1]) if len(upto) else before
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(piece)], [*batch.schema.names[:-1], "__piece"])
+
+        sized = rows.withColumn("__size", F.expr(self.row_bytes).cast("long"))
+        return sized.mapInArrow(run, StructType([*rows.schema.fields]).add("__piece", LongType()))
+
     def append(self, rows: DataFrame, arrival: int = 0) -> int:
-        """Add ``rows`` as they are partitioned, without a shuffle, as small shards; returns the new version."""
+        """Add ``rows`` as they are partitioned, without a shuffle, as small shards whatever the partitions' sizes; returns the new version."""
         known = self.versions()
-        return self.commit(self.manifest() + self._written(rows, arrival), (known[-1] if known else 0) + 1)
+        return self.commit(self.manifest() + self._written(self._cut(rows), arrival, "__piece"), (known[-1] if known else 0) + 1)
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: of each tier below the last, neighbours in order of size, cut before they go over the next tier's size by more
@@ -124,12 +145,22 @@ class ShardStore:
             for i in range(0, len(runs), RUNS_A_JOB):
                 part = runs[i : i + RUNS_A_JOB]
                 each = [self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in part]
-                done += self._written(reduce(DataFrame.union, each), max(s.arrival for run in part for s in run))
+                done += self._merged(each, max(s.arrival for run in part for s in run))
             gone = {s.path for run in runs for s in run}
             version = self.commit([s for s in shards if s.path not in gone] + done, version + 1)
             self.vacuum(version)
         return version
 
+    def _merged(self, each: list[DataFrame], arrival: int) -> list[Shard]:
+        """Runs of one partition each, as one shard each: a union must not put single partitions together into one."""
+        key, conf = "spark.sql.unionOutputPartitioning", self.spark.conf
+        before = conf.get(key, None)
+        conf.set(key, "false")
+        try:
+            return self._written(reduce(DataFrame.union, each), arrival)
+        finally:
+            conf.unset(key) if before is None else conf.set(key, before)
+
     def vacuum(self, keep_from: int) -> None:
         """Delete manifests before ``keep_from`` and files that none from it on lists."""
         kept = {s.path for v in self.versions() if v >= keep_from for s in self.manifest(v)}

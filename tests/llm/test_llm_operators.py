@@ -134,6 +134,17 @@ def test_shards_hold_every_row(spark, docs, tmp_path):
     assert store.manifest() == last
 
 
+def test_large_partitions_become_target_sized_shards(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * 68) for i in range(400)], "doc_id long, text string").coalesce(1)  # 100 bytes each
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000)
+    store.append(rows)
+    assert all(s.n_bytes < 2000 and s.tier < 2 for s in store.manifest())
+    store.compact()
+    assert all(s.n_bytes <= 5000 for s in store.manifest()) and sum(s.tier == 2 for s in store.manifest()) >= 8
+    got = store.read()
+    assert [c for c in got.columns if c[:2] != "__"] == rows.columns and sorted(r.doc_id for r in got.collect()) == list(range(400))
+
+
 def test_rules_edges(docs, none):
     got = {(r.doc_id, r.n_words): r for r in rules.judge(docs).collect()}
     assert rules.judge(docs).count() == len(ROWS) and rules.judge(none).count() == 0
