@@ -5,14 +5,16 @@ each chunk, and each filter's strongest response in the text is kept. A second b
 overlapping chunks of 32 bytes, one every 16, match the bytes a few places before them, which tells repeated words of any
 spelling. A logistic layer combines all maxima into one probability.
 
-Since only maxima count, a text of any length takes fixed memory beyond its own. Defined cases: a null or empty text has
-responses of 0, and is scored like any other; repeated rows are scored each; null labels, ids or texts are not learned from;
-without labelled rows every score is 0.5; a null ``doc_id`` is never held out; other columns are ignored whatever their names;
-an empty table gives an empty result.
+Since only maxima count, a text of any length takes fixed memory beyond its own: long ones are gone through in overlapping pieces.
+The network is fitted by one task on a bounded sample of labelled rows (MOST_ROWS rows and MOST_BYTES bytes of text). Defined
+cases: a null or empty text has responses of 0, and is scored like any other; repeated rows are scored each; null labels, ids or
+texts are not learned from; without labelled rows every score is 0.5; a null ``doc_id`` is never held out; other columns are
+ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ocellus.llm import labels as lab
 
-#: Labelled rows learned from at most.
-MOST_ROWS = 3_000
+#: Labelled rows, and bytes of their texts, learned from at most.
+MOST_ROWS, MOST_BYTES = 3_000, 16 << 20
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 WIDTH, STRIDE, FILTERS = 8, 4, 24
@@ -148,6 +150,18 @@ class Network:
         b = lay.maxima(self.respond_lags(match), begins, SPAN // 2)
         return np.maximum(np.concatenate([a + self.p["c"], b + self.p["d"]], 1), 0)
 
+    def pooled_long(self, text: bytes) -> np.ndarray:
+        """:meth:`pooled` of one text longer than PIECE. Pieces overlap by a span and the longest distance, so every chunk lies whole in
+        one of them together with the bytes that it is compared with."""
+        lead = 2 * SPAN
+        a = b = np.float32(-np.inf)
+        for at in range(0, len(text), PIECE):
+            lay = Layout([text[max(0, at - lead) : at + PIECE]])
+            a = np.maximum(a, self.respond(lay.chunks()[0]).max(0))
+            match = lay.matches()[0][2 if at else 0 :]  # a later piece's first two chunks lack bytes before them
+            b = np.maximum(b, self.respond_lags(match).max(0))
+        return np.maximum(np.concatenate([a + self.p["c"], b + self.p["d"]]), 0)[None]
+
     def probabilities(self, texts: list[bytes]) -> list[float]:
         """Of each text, worked out for about PIECE bytes of texts at a time."""
         z: list[np.ndarray] = []
@@ -157,7 +171,8 @@ class Network:
             while until < len(texts) and (until == at or size + len(texts[until]) <= PIECE):
                 size += len(texts[until])
                 until += 1
-                terms = self.pooled(texts[at:until]).astype(np.float64) * self.p["w"]
+            pooled = self.pooled(texts[at:until]) if size <= PIECE else self.pooled_long(texts[at])
+            terms = pooled.astype(np.float64) * self.p["w"]
             part = np.zeros(len(terms))
             for k in range(terms.shape[1]):  # in this order, however many texts there are
                 part += terms[:, k]
@@ -171,6 +186,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Network:
     """Adam on shuffled batches; gradients go through each filter's strongest chunk only."""
     net = Network(seed)
     if not rows:
+        net.p["w"][:] = 0
         return net
     rng = np.random.default_rng(seed)
     raw = [t.encode() for t, _ in rows]
@@ -233,5 +249,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network from labelled rows outside the held-out fold."""
-    return fit(lab.sample(docs, labels, "quality", lambda i: lab.bucket(i, FOLDS) != HELD_OUT, MOST_ROWS))
+    """A network from labelled rows outside the held-out fold, fitted by a task."""
+    rows = lab.sample(docs, labels, "quality", lambda i: lab.bucket(i, FOLDS) != HELD_OUT, MOST_ROWS, MOST_BYTES)
+    net = Network()
+    net.p, net.shift = pickle.loads(lab.fitted(rows, lambda found: pickle.dumps((lambda n: (n.p, n.shift))(fit(found)))))
+    return net

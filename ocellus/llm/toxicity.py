@@ -12,6 +12,7 @@ held out; other columns are ignored whatever their names; an empty table gives a
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ocellus.llm import labels as lab
 
-#: Labelled rows learned from at most.
-MOST_ROWS = 6_000
+#: Labelled rows, and bytes of their texts, learned from at most.
+MOST_ROWS, MOST_BYTES = 6_000, 32 << 20
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 EPOCHS = 300
@@ -82,7 +83,8 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> dict:
     if not rows:
         return {"bias": -50.0, "weights": {}}
     rng = random.Random(seed)
-    sets, y = [words(t) for t, _ in rows], np.array([label for _, label in rows], float)
+    known: dict[str, str] = {}
+    sets, y = [{known.setdefault(w, w) for w in words(t)} for t, _ in rows], np.array([label for _, label in rows], float)
     pairs = [p for s in sets if (p := swapped(s, rng))]
     seen: dict[str, list[int]] = {}
     for s, label in zip(sets, y, strict=True):
@@ -158,5 +160,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """A model from labelled rows outside the held-out fold."""
-    return fit(lab.sample(docs, labels, "toxic", lambda i: lab.bucket(i, FOLDS) != HELD_OUT, MOST_ROWS))
+    """A model from labelled rows outside the held-out fold, fitted by a task."""
+    rows = lab.sample(docs, labels, "toxic", lambda i: lab.bucket(i, FOLDS) != HELD_OUT, MOST_ROWS, MOST_BYTES)
+    return pickle.loads(lab.fitted(rows, lambda found: pickle.dumps(fit(found))))
+
+
+def clean_rows(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, as they are: each is judged where it stands, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(shared.value)
+        for batch in batches:
+            kept = pa.array([own.score(t or "") < THRESHOLD for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(kept)
+
+    return docs.select("*", F.col("text").cast("string").alias("__judged")).mapInArrow(run, docs.schema)
