@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as G
-from ocellus.operators.grouping import map_groups
+from ocellus.operators.grouping import BudgetExceeded, fold_groups
 
 #: Observations in a row that confirm, and the caps of a policy and of the event queue.
 CONFIRM, MOST_CONDITIONS, MOST_EVENTS = 2, 64, 256
+#: What a change of each axis (text, label, parents) is called, and an observation that says nothing.
+CHANGES, NOTHING = ("textChanged", "appearanceChanged", "relationChanged"), ("", "", "")
 
 
 # -- attention -------------------------------------------------------------------------------------------------------
@@ -24,10 +26,18 @@ def valid_condition() -> Column:
     return some & (F.col("roi_w") >= 0) & (F.col("roi_h") >= 0) & (~F.col("bind_stable_id") | (F.col("stable_id") != 0))
 
 
+def checked_policy(conditions: DataFrame) -> DataFrame:
+    """``conditions`` that are valid, or BudgetExceeded if the policy has more than it may: none is left out."""
+    n = conditions.limit(MOST_CONDITIONS + 1).count()
+    if n > MOST_CONDITIONS:
+        raise BudgetExceeded(f"a policy has {MOST_CONDITIONS} conditions at most")
+    return conditions.where(valid_condition())
+
+
 def resolve(conditions: DataFrame, regions: DataFrame, frames: DataFrame) -> DataFrame:
     """Outcome of each condition (idx, ...) on each frame (source_id, seq, generation): its first criterion that is given decides: a bound
     id, then text and label, then the ROI itself. The first region in stored order (pos) counts."""
-    asked = frames.crossJoin(F.broadcast(conditions.where(valid_condition()).limit(MOST_CONDITIONS)))  # at most 64 conditions
+    asked = frames.crossJoin(F.broadcast(checked_policy(conditions)))  # at most 64 conditions
     by_id = F.col("bind_stable_id")
     by_words = ~by_id & ((F.col("text_equals") != "") | (F.col("label_equals") != ""))
     r = regions.select("source_id", "seq", F.struct("pos", "stable_id", "x", "y", "w", "h", "text", "label").alias("r"))
@@ -101,32 +111,30 @@ def accept(tokens: DataFrame, batch: list[str], **now) -> DataFrame:
 
 @dataclass
 class Entity:
-    """What is known of one entity; used by batch and streaming alike."""
+    """What is known of one entity; used by batch and streaming alike. ``seen`` and ``pending`` are (text, label, parents)."""
 
     open: bool = False
     instance: int = 0
     present: int = 0
+    present_since: int = 0
     absent: int = 0
+    absent_since: int = 0
     hidden: int = 0
+    hidden_since: int = 0
     occluded: bool = False
-    since: int = 0
-    seen: tuple = ()
-    pending: tuple = ()
+    seen: tuple = NOTHING
+    pending: tuple = NOTHING
     pending_n: int = 0
+    pending_since: int = 0
     last_seq: int = -1
-    log: list = field(default_factory=list)
+    state: str = "unanalyzed"
 
-    def _say(self, kind: str, what: str, seq: int, since: int) -> None:
-        self.log.append((kind, what, since, seq, self.instance))
-
-    def observe(self, seq: int, observed: str, said: tuple = ("", "", ()), occluder: bool = False, lost: bool = False) -> list[tuple]:
-        """One frame: present, absent, uncovered or reset. Returns the events it confirms: (kind, what, from, to, instance). A frame that is
-        not newer than the last one changes nothing."""
-        self.log = []
+    def observe(self, seq: int, observed: str, said: tuple = NOTHING, occluder: bool = False, lost: bool = False, notify: bool = True) -> list[tuple]:
+        """One frame: present, absent, uncovered or reset. Returns the events it confirms: (kind, what, from, to, instance), where from is
+        the first of the frames in a row that confirm it; a reset's are 0. A frame that is not newer than the last one changes
+        nothing. Without ``notify`` the state moves on and only a reset is told."""
         if observed == "reset":
-            if self.open:
-                self._say("end", "sourceReset", seq, seq)
-            log = self.log
+            log = [("end", "sourceReset", 0, 0, self.instance)] if self.open else []
             self.__init__()
             return log
         if seq <= self.last_seq:
@@ -134,68 +142,107 @@ class Entity:
         self.last_seq = seq
         if observed == "uncovered":
             self.present = self.absent = self.hidden = self.pending_n = 0
+            self.state = "unanalyzed"
+            log = []
         elif observed == "present":
-            self._present(seq, said)
+            log = self._present(seq, said)
         else:
-            self._absent(seq, occluder, lost)
-        return self.log
-
-    def _present(self, seq: int, said: tuple) -> None:
-        self.present += 1
+            log = self._absent(seq, occluder, lost)
+        return [(*what, seq, self.instance) for what in log] if notify else []
+
+    def _run(self, name: str, seq: int) -> int:
+        """One more observation of a kind in a row: of the first one the frame is kept."""
+        n = getattr(self, name) + 1
+        setattr(self, name, n)
+        if n == 1:
+            setattr(self, f"{name}_since", seq)
+        return n
+
+    def _present(self, seq: int, said: tuple) -> list[tuple]:
+        n = self._run("present", seq)
         self.absent = self.hidden = 0
-        if self.present == 1:
-            self.since = seq
+        self.state = "observed"
         if not self.open:
-            if self.present >= CONFIRM:
-                self.open, self.instance, self.seen = True, self.instance + 1, said
-                self.pending_n, self.occluded = 0, False
-                self._say("begin", "appeared", seq, self.since)
-            return
-        if self.occluded and self.present >= CONFIRM:
+            if n < CONFIRM:
+                return []
+            self.open, self.instance, self.seen, self.pending_n = True, self.instance + 1, said, 0
+            return [("begin", "appeared", self.present_since)]
+        log = []
+        if self.occluded and n >= CONFIRM:
             self.occluded = False
-            self._say("update", "relationChanged", seq, self.since)
+            log.append(("update", "relationChanged", self.present_since))
         if said == self.seen:
             self.pending_n = 0
-            return
-        self.pending_n = self.pending_n + 1 if self.pending_n and said == self.pending else 1
+            return log
+        if said != self.pending:
+            self.pending_n = 0
         self.pending = said
+        self.pending_n += 1
+        if self.pending_n == 1:
+            self.pending_since = seq
         if self.pending_n >= CONFIRM:
-            for axis, old, new in zip(("textChanged", "labelChanged", "relationChanged"), self.seen, said, strict=True):
-                if old != new:
-                    self._say("update", axis, seq, self.since)
+            log += [("update", what, self.pending_since) for what, old, new in zip(CHANGES, self.seen, said, strict=True) if old != new]
             self.seen, self.pending_n = said, 0
+        return log
 
-    def _absent(self, seq: int, occluder: bool, lost: bool) -> None:
+    def _absent(self, seq: int, occluder: bool, lost: bool) -> list[tuple]:
         self.present = self.pending_n = 0
+        self.state = "trackingLost" if lost else "occluded"
         if lost:
             self.absent = self.hidden = 0
-            return
-        if occluder:
-            self.absent, self.hidden = 0, self.hidden + 1
-            if self.open and not self.occluded and self.hidden >= CONFIRM:
+        elif occluder:
+            self.absent = 0
+            if self._run("hidden", seq) >= CONFIRM and self.open and not self.occluded:
                 self.occluded = True
-                self._say("update", "relationChanged", seq, seq)
-            return
-        self.hidden, self.absent = 0, self.absent + 1
-        if self.open and self.absent >= CONFIRM:
-            self.open = self.occluded = False
-            self._say("end", "disappeared", seq, seq)
+                return [("update", "relationChanged", self.hidden_since)]
+        else:
+            self.hidden = 0
+            if self._run("absent", seq) >= CONFIRM and self.open:
+                self.open = self.occluded = False
+                self.state = "unanalyzed"
+                return [("end", "disappeared", self.absent_since)]
+        return []
 
 
 EVENTS = "source_id long, stable_id long, seq long, kind string, what string, from_seq long, instance int"
 
 
+def with_details(observations: DataFrame) -> DataFrame:
+    """source_id, stable_id, seq, observed, text, label, parents (ids, as text), occluder, lost and notify, where missing or null: empty,
+    false, and true for notify."""
+    empty = {"text": "", "label": "", "parents": "", "occluder": False, "lost": False, "notify": True}
+    had = lambda c: F.col(c) if c in observations.columns else F.lit(None)
+    as_text = lambda c: F.concat_ws(",", F.array_sort(c)) if dict(observations.dtypes).get("parents", "").startswith("array") else had("parents").cast("string")
+    details = [F.coalesce(as_text(c) if c == "parents" else had(c).cast("boolean" if isinstance(v, bool) else "string"), F.lit(v)).alias(c) for c, v in empty.items()]
+    return observations.select("source_id", "stable_id", "seq", "observed", *details)
+
+
 def semantic_events(observations: DataFrame) -> DataFrame:
-    """Events of every entity from its observations (source_id, stable_id, seq, observed, text)."""
+    """Events of every entity from its observations (source_id, stable_id, seq, observed; see :func:`with_details`). A reset's event stands
+    at its frame, with from_seq 0. Rows stream through, one entity's state at a time."""
 
-    def run(rows: list[tuple]) -> Iterable[tuple]:
+    def run(rows: Iterable[tuple]) -> Iterable[tuple]:
         entity = Entity()
-        for source, stable, seq, observed, text in rows:
-            for kind, what, since, at, instance in entity.observe(seq, observed, (text or "", "", ())):
-                yield source, stable, at, kind, what, since, instance
+        for source, stable, seq, observed, text, label, parents, occluder, lost, notify in rows:
+            for kind, what, since, _, instance in entity.observe(seq, observed, (text, label, parents), occluder, lost, notify):
+                yield source, stable, seq, kind, what, since, instance
+
+    return fold_groups(with_details(observations), ["source_id", "stable_id"], ["seq"], run, EVENTS)
+
+
+def entity_states(observations: DataFrame) -> DataFrame:
+    """The state of every entity after its last observation: open, instance, state, confirmed text and label, last_seq. A snapshot that
+    queries can be answered from."""
+
+    def run(rows: Iterable[tuple]) -> Iterable[tuple]:
+        entity, key = Entity(), (0, 0)
+        for source, stable, seq, observed, text, label, parents, occluder, lost, _ in rows:
+            key = (source, stable)
+            entity.observe(seq, observed, (text, label, parents), occluder, lost)
+        yield *key, entity.open, entity.instance, entity.state, entity.seen[0], entity.seen[1], entity.last_seq
 
-    cols = observations.select("source_id", "stable_id", "seq", "observed", "text")
-    return map_groups(cols, ["source_id", "stable_id"], ["seq"], run, EVENTS, most=1 << 24)
+    ddl = "source_id long, stable_id long, open boolean, instance int, state string, text string, label string, last_seq long"
+    return fold_groups(with_details(observations), ["source_id", "stable_id"], ["seq"], run, ddl)
 
 
 def numbered(events: DataFrame) -> DataFrame:

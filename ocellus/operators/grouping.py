@@ -8,6 +8,7 @@ sources, whose sizes the data model bounds; ``most`` makes an overflow an error
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,22 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[l
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``fn`` on an iterator over the rows (tuples of all columns, in ``order``) of each group; its results are rows of ``schema``. Nothing but
+    what ``fn`` keeps is held, so groups may have any size."""
+    width = [df.columns.index(k) for k in keys]
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = (x for _, group in groupby(rows, key=lambda row: tuple(row[i] for i in width)) for x in fn(group))
+        while out := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def roots(edges: Iterable[tuple[int, int]]) -> dict[int, int]:
     """Smallest member of each node's connected component."""
     parent: dict[int, int] = {}

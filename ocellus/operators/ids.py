@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as G
 from ocellus.functions import text as X
-from ocellus.operators.grouping import map_groups
+from ocellus.operators.grouping import fold_groups, map_groups
 
 MATCH_IOU, CENTER_GATE, RETENTION = 0.3, 0.5, 0.5
 WEIGHT_IOU, WEIGHT_CENTER, WEIGHT_TEXT = 0.5, 0.3, 0.2
@@ -22,7 +23,7 @@ def match_candidates(regions: DataFrame) -> DataFrame:
     """Pairs of a region and one of the frame before it (source_id, seq; ids prev_id and cur_id) that pass the gate, with cost.
 
     The frame before is an equi-key of the join, so no candidate crosses sources or skips a frame."""
-    text = X.normalize(F.coalesce("text", F.lit("")))
+    text = X.truncated(X.normalize(F.coalesce("text", F.lit(""))))
     rows = regions.select("source_id", "seq", F.struct("region_id", *(F.col(c).cast("double").alias(c) for c in "xywh"), text.alias("text")).alias("r"))
     prev = rows.select("source_id", (F.col("seq") + 1).alias("seq"), F.col("r").alias("p"))
     both = prev.join(rows.withColumnRenamed("r", "c"), ["source_id", "seq"])
@@ -145,26 +146,35 @@ class IdState:
         return events, {"retained": retained, "new": len(current) - retained, "merges": merges, "splits": splits, "bump": bump}
 
 
+def _folded(regions: DataFrame, out, ddl: str) -> DataFrame:
+    """``out`` (state, rows of the frame, events, tallies -> rows) of each frame of every source in order; a source's frames stream
+    through, one held at a time."""
+    text = X.truncated(X.normalize(F.coalesce("text", F.lit(""))))
+    cols = regions.select("source_id", "seq", "region_id", *(F.col(c).cast("double").alias(c) for c in "xywh"), text.alias("text"))
+
+    def run(rows: Iterable[tuple]) -> Iterable[tuple]:
+        state, last = IdState(), None
+        for seq, frame in groupby(rows, key=lambda r: r[1]):
+            held = list(frame)
+            if last is not None and seq != last + 1:
+                state.advance([])  # a frame without regions came between
+            last = seq
+            events, tallies = state.advance([Region(*r[3:]) for r in held])
+            yield from out(state, held, events, tallies)
+
+    return fold_groups(cols, ["source_id"], ["seq", "region_id"], run, ddl)
+
+
 def track(regions: DataFrame) -> DataFrame:
     """source_id, seq, region_id, stable_id, event and generation of every region (source_id, seq, region_id, x, y, w, h, text)."""
-    text = X.normalize(F.coalesce("text", F.lit("")))
-    cols = regions.select("source_id", "seq", "region_id", *(F.col(c).cast("double").alias(c) for c in "xywh"), text.alias("text"))
+    out = lambda s, rows, events, _: [(*r[:3], p.stable_id, e, s.generation) for r, p, e in zip(rows, s.previous, events, strict=True)]
+    return _folded(regions, out, "source_id long, seq long, region_id long, stable_id long, event string, generation int")
+
 
-    def run(rows: list[tuple]) -> Iterable[tuple]:
-        state, out = IdState(), []
-        at = 0
-        while at < len(rows):
-            until = at
-            while until < len(rows) and rows[until][1] == rows[at][1]:
-                until += 1
-            if at and rows[at][1] != rows[at - 1][1] + 1:
-                state.previous = []  # a frame without regions came between
-            events, _ = state.advance([Region(*r[3:]) for r in rows[at:until]])
-            out += [(*rows[i][:3], state.previous[i - at].stable_id, events[i - at], state.generation) for i in range(at, until)]
-            at = until
-        return out
-
-    return map_groups(cols, ["source_id"], ["seq", "region_id"], run, "source_id long, seq long, region_id long, stable_id long, event string, generation int", most=1 << 24)
+def tallied(regions: DataFrame) -> DataFrame:
+    """source_id, seq, retained, fresh, merges, splits, bump and generation of every frame that has regions."""
+    out = lambda s, rows, _, t: [(*rows[0][:2], t["retained"], t["new"], t["merges"], t["splits"], t["bump"], s.generation)]
+    return _folded(regions, out, "source_id long, seq long, retained long, fresh long, merges long, splits long, bump boolean, generation int")
 
 
 def generations(tallies: DataFrame) -> DataFrame:

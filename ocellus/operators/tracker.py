@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as G
-from ocellus.operators.grouping import map_groups
+from ocellus.operators.grouping import fold_groups
 
 #: Streak of insufficient evidence that loses a track, lag of generations, backoff and attempts of redetection.
 UNCERTAIN_LIMIT, GENERATION_LAG, BACKOFF_BASE, BACKOFF_MOST, ATTEMPTS = 5, 1, 1, 60, 8
@@ -77,14 +77,14 @@ class Track:
 def commit(evidence: DataFrame, limit: int = UNCERTAIN_LIMIT) -> DataFrame:
     """source_id, track_id, seq, state, streak and lost_seq after each graded observation (source_id, track_id, seq, grade)."""
 
-    def run(rows: list[tuple]) -> Iterable[tuple]:
+    def run(rows: Iterable[tuple]) -> Iterable[tuple]:
         track = Track()
         for source, name, seq, g in rows:
             track.commit(g, seq, limit)
             yield source, name, seq, track.state, track.streak, track.lost_seq
 
     cols = evidence.select("source_id", "track_id", "seq", "grade")
-    return map_groups(cols, ["source_id", "track_id"], ["seq"], run, "source_id long, track_id long, seq long, state string, streak int, lost_seq long", most=1 << 24)
+    return fold_groups(cols, ["source_id", "track_id"], ["seq"], run, "source_id long, track_id long, seq long, state string, streak int, lost_seq long")
 
 
 def layout_generations(frames: DataFrame) -> DataFrame:

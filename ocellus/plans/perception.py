@@ -172,20 +172,50 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.match_candidates(_sequence(spark, sf_dir)).withColumn("cost", F.round("cost", 9))
 
 
-@query()
+# Greedy choice by walking each frame's candidates from the cheapest; the state is what has been matched.
+_MATCHES = f"""{_CANDIDATES}, rk AS (SELECT source_id, seq, prev_id, cur_id, row_number() OVER (PARTITION BY source_id, seq ORDER BY cost, prev_id, cur_id) AS r FROM cand),
+choice(source_id, seq, r, prevs, curs, prev_id, cur_id) AS (
+  SELECT source_id, seq, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT source_id, seq FROM rk) t
+  UNION ALL SELECT source_id, seq, r, CASE WHEN taken THEN list_append(prevs, p) ELSE prevs END, CASE WHEN taken THEN list_append(curs, c) ELSE curs END, CASE WHEN taken THEN p END, CASE WHEN taken THEN c END
+  FROM (SELECT w.source_id, w.seq, k.r, w.prevs, w.curs, k.prev_id AS p, k.cur_id AS c, NOT list_contains(w.prevs, k.prev_id) AND NOT list_contains(w.curs, k.cur_id) AS taken
+    FROM choice w JOIN rk k ON k.source_id = w.source_id AND k.seq = w.seq AND k.r = w.r + 1) t),
+ma AS (SELECT source_id, seq, prev_id, cur_id FROM choice WHERE cur_id IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_MATCHES} SELECT * FROM ma")
 def stable_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.assign(ids.match_candidates(_sequence(spark, sf_dir)))
 
 
-@query()
+# What is fresh and what is left of a frame; merged and split regions; and when a source's generation moves on.
+_FATES = f"""{_MATCHES}, fr AS (SELECT source_id, seq, count(*) AS regions, lag(seq) OVER w AS last_seq, lag(count(*)) OVER w AS last_n FROM sq GROUP BY source_id, seq WINDOW w AS (PARTITION BY source_id ORDER BY seq)),
+fresh AS (SELECT s.* FROM sq s LEFT JOIN ma m ON m.source_id = s.source_id AND m.seq = s.seq AND m.cur_id = s.region_id WHERE m.cur_id IS NULL),
+remains AS (SELECT s.source_id, s.seq + 1 AS seq, s.region_id, s.x, s.y, s.w, s.h FROM sq s LEFT JOIN ma m ON m.source_id = s.source_id AND m.seq = s.seq + 1 AND m.prev_id = s.region_id WHERE m.prev_id IS NULL),
+merged AS (SELECT n.source_id, n.seq, n.region_id FROM fresh n JOIN remains p ON n.source_id = p.source_id AND n.seq = p.seq AND p.x + p.w / 2 >= n.x AND p.x + p.w / 2 < n.x + n.w AND p.y + p.h / 2 >= n.y AND p.y + p.h / 2 < n.y + n.h GROUP BY ALL HAVING count(*) >= 2),
+inner_ AS (SELECT n.source_id, n.seq, n.region_id, p.region_id AS parent, count(*) OVER (PARTITION BY p.source_id, p.seq, p.region_id) AS k FROM (SELECT f.* FROM fresh f ANTI JOIN merged m ON m.source_id = f.source_id AND m.seq = f.seq AND m.region_id = f.region_id) n
+  JOIN remains p ON n.source_id = p.source_id AND n.seq = p.seq AND n.x + n.w / 2 >= p.x AND n.x + n.w / 2 < p.x + p.w AND n.y + n.h / 2 >= p.y AND n.y + n.h / 2 < p.y + p.h),
+ta AS (SELECT fr.*, coalesce(r.n, 0) AS retained, coalesce(g.n, 0) AS merges FROM fr LEFT JOIN (SELECT source_id, seq, count(*) AS n FROM ma GROUP BY ALL) r USING (source_id, seq) LEFT JOIN (SELECT source_id, seq, count(*) AS n FROM merged GROUP BY ALL) g USING (source_id, seq))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MATCHES}, chain(source_id, seq, region_id, born, first_id) AS (
+      SELECT s.source_id, s.seq, s.region_id, s.seq, s.region_id FROM sq s LEFT JOIN ma m ON m.source_id = s.source_id AND m.seq = s.seq AND m.cur_id = s.region_id WHERE m.cur_id IS NULL
+      UNION ALL SELECT c.source_id, m.seq, m.cur_id, c.born, c.first_id FROM chain c JOIN ma m ON m.source_id = c.source_id AND m.seq = c.seq + 1 AND m.prev_id = c.region_id)
+    SELECT source_id, seq, region_id, dense_rank() OVER (PARTITION BY source_id ORDER BY born, first_id) AS stable_id, born <> seq AS retained FROM chain"""
+)
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids.track(_sequence(spark, sf_dir))
+    return ids.track(_sequence(spark, sf_dir)).select("source_id", "seq", "region_id", "stable_id", (F.col("event") == "retained").alias("retained"))
 
 
-@query(f"WITH {_SEQ} SELECT source_id, seq, regions, CAST(sum(CASE WHEN n = 1 OR regions % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY seq) AS BIGINT) AS generation FROM (SELECT source_id, seq, count(*) AS regions, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n FROM sq GROUP BY source_id, seq) t")
+@query(
+    f"""WITH RECURSIVE {_FATES}, parents AS (SELECT * FROM inner_ WHERE k >= 2),
+    sp AS (SELECT source_id, seq, count(DISTINCT parent) AS n FROM parents GROUP BY ALL)
+    SELECT source_id, seq, regions, retained, merges, CAST(sum(CASE WHEN last_seq IS NULL OR seq <> last_seq + 1 OR merges > 0 OR coalesce(sp.n, 0) > 0 OR retained < 0.5 * last_n THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY seq) AS INTEGER) AS generation
+    FROM ta LEFT JOIN sp USING (source_id, seq)"""
+)
 def generation_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tallies = _sequence(spark, sf_dir).groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("regions")).withColumn("bump", F.col("regions") % 4 == 0)
-    return ids.generations(tallies).drop("bump")
+    told = ids.tallied(_sequence(spark, sf_dir))
+    return told.select("source_id", "seq", (F.col("retained") + F.col("fresh")).alias("regions"), "retained", "merges", "generation")
 
 
 @query(f"WITH {_SEQ} SELECT n.source_id, n.seq, n.region_id, count(*) AS swallowed FROM sq n JOIN sq p ON n.source_id = p.source_id AND n.seq = p.seq + 1 AND p.x + p.w / 2 >= n.x AND p.x + p.w / 2 < n.x + n.w AND p.y + p.h / 2 >= n.y AND p.y + p.h / 2 < n.y + n.h GROUP BY ALL")
@@ -226,13 +256,14 @@ def changed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.changed_regions(change.detect(fx.thumbs(spark, sf_dir), threshold=35))
 
 
-@query(
-    f"""WITH {_FRAMES_PX}, offs AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
+SHIFTS = f"""{_FRAMES_PX}, offs AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
     surf AS (SELECT source_id, seq, dy, dx, CAST(list_sum(list_transform(range(0, 16), lambda k: abs(prev_px[(k // 4 + 2) * 8 + k % 4 + 3] - px[(k // 4 + 2 + dy) * 8 + k % 4 + 2 + dx + 1]))) AS BIGINT) AS sad FROM lagged, offs WHERE prev_px IS NOT NULL),
     tot AS (SELECT source_id, seq, CAST(sum(sad) AS BIGINT) AS total FROM surf GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY source_id, seq ORDER BY sad, greatest(abs(dx), abs(dy)), dy, dx) AS n FROM surf)
-    SELECT source_id, seq, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, sad, CASE WHEN total + 23 * sad > 0 THEN (total - 25 * sad) / CAST(total + 23 * sad AS DOUBLE) ELSE 0.0 END AS confidence FROM best JOIN tot USING (source_id, seq) WHERE n = 1"""
-)
+    best AS (SELECT *, row_number() OVER (PARTITION BY source_id, seq ORDER BY sad, greatest(abs(dx), abs(dy)), dy, dx) AS n FROM surf),
+    gs AS (SELECT source_id, seq, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, sad, CASE WHEN total + 23 * sad > 0 THEN (total - 25 * sad) / CAST(total + 23 * sad AS DOUBLE) ELSE 0.0 END AS confidence FROM best JOIN tot USING (source_id, seq) WHERE n = 1)"""
+
+
+@query(f"WITH {SHIFTS} SELECT * FROM gs")
 def global_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.global_shift(fx.thumbs(spark, sf_dir))
 
@@ -323,7 +354,7 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH px AS ({fx.THUMBS_PX}), hs AS (SELECT *, CAST({_BIT.format(p='px')} AS BIGINT) AS hash, list_sum(px) AS s, list_sum(list_transform(px, lambda v: v * v)) AS ss FROM px),
     m AS (SELECT q.entry_id AS query_id, e.entry_id, q.px = e.px AS same, 1.0 - bit_count(xor(q.hash, e.hash)) / 64.0 AS hsim, 64 * q.ss - q.s * q.s AS va, 64 * e.ss - e.s * e.s AS vb,
-      64 * list_sum(list_transform(list_zip(q.px, e.px), lambda p: p[1] * p[2])) - q.s * e.s AS cov FROM hs q JOIN hs e ON q.entry_id % 50 = 0),
+      64 * list_sum(list_transform(list_zip(q.px, e.px), lambda p: p[1] * p[2])) - q.s * e.s AS cov FROM hs q JOIN hs e ON q.entry_id % 20 = 0),
     t AS (SELECT query_id, entry_id, CASE WHEN same THEN 0 WHEN hsim >= 0.9 THEN 1 ELSE 2 END AS tier, CASE WHEN same THEN 1.0 WHEN hsim >= 0.9 THEN CAST(hsim AS DOUBLE) WHEN va = 0 OR vb = 0 THEN 0.0 ELSE CAST(cov AS DOUBLE) / sqrt(CAST(va AS DOUBLE) * CAST(vb AS DOUBLE)) END AS similarity FROM m)
     SELECT query_id, entry_id, tier, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, similarity DESC, entry_id) AS rank FROM t WHERE tier < 2 OR similarity >= 0.3) WHERE rank <= 8"""
 )
@@ -366,7 +397,7 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id, turn, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE 1.0 - levenshtein(a, b) / greatest(strlen(a), strlen(b)) END AS similarity
-    FROM (SELECT conv_id, turn, left(coalesce(text, ''), 200) AS b, lag(left(coalesce(text, ''), 200)) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations) t WHERE a IS NOT NULL"""
+    FROM (SELECT conv_id, turn, coalesce(text, '') AS b, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations) t WHERE a IS NOT NULL"""
 )
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

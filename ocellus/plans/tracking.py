@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import digest
 from ocellus.operators import cache, change, continuous, lines, render, tracker
+from ocellus.plans.perception import SHIFTS as _SHIFTS
 from ocellus.runtime import table
 from ocellus.sources import fixtures as fx
 
@@ -109,13 +110,12 @@ def track_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.commit(_graded(spark, sf_dir))
 
 
-_TRACKS = "tk AS (SELECT l_suppkey AS source_id, CAST(l_linenumber AS BIGINT) AS seq, l_orderkey AS track_id, CASE l_partkey % 4 WHEN 0 THEN 'terminated' WHEN 1 THEN 'lost' WHEN 2 THEN 'uncertain' ELSE 'tracking' END AS state, CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 50 AS DOUBLE) AS y, 10.0 AS w, 10.0 AS h, CAST(l_quantity AS BIGINT) AS last_verified, l_partkey AS pk FROM lineitem WHERE l_linenumber <= 4)"
+_TRACKS = "tk AS (SELECT l_suppkey AS source_id, CAST(l_linenumber AS BIGINT) AS seq, l_orderkey AS track_id, CASE l_partkey % 4 WHEN 0 THEN 'terminated' WHEN 1 THEN 'lost' WHEN 2 THEN 'uncertain' ELSE 'tracking' END AS state, CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 50 AS DOUBLE) AS y, 10.0 AS w, 10.0 AS h, CAST(l_quantity AS BIGINT) AS last_verified, l_partkey AS pk FROM lineitem)"
 _GATE_FRAMES = "fr AS (SELECT DISTINCT source_id, seq, CASE (source_id + seq) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'global' END AS classification FROM tk), ro AS (SELECT source_id, seq, k AS roi, CAST(k * 12 AS DOUBLE) AS x, CAST((source_id + k) % 40 AS DOUBLE) AS y, 8.0 AS w, 20.0 AS h FROM fr, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t)"
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # all rows: the SQL that checks takes the first four lines of an order only
-    rows = fx.view(spark, sf_dir, _TRACKS[_TRACKS.index("(") + 1 : _TRACKS.rindex(" WHERE ")], "lineitem").withColumn("w", F.lit(10.0)).withColumn("h", F.lit(10.0))
+    rows = fx.view(spark, sf_dir, _TRACKS[_TRACKS.index("(") + 1 : -1], "lineitem").withColumn("w", F.lit(10.0)).withColumn("h", F.lit(10.0))
     frames = rows.select("source_id", "seq").distinct().withColumn("classification", F.element_at(F.array(F.lit("none"), F.lit("partial"), F.lit("global")), (F.pmod(F.col("source_id") + F.col("seq"), F.lit(3)) + 1).cast("int")))
     rois = frames.select("source_id", "seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("roi"))
     rois = rois.withColumn("x", (F.col("roi") * 12).cast("double")).withColumn("y", ((F.col("source_id") + F.col("roi")) % 40).cast("double")).withColumn("w", F.lit(8.0)).withColumn("h", F.lit(20.0))
@@ -142,7 +142,7 @@ def redetection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.redetection_gate(fx.view(spark, sf_dir, _REDETECT[_REDETECT.index("(") + 1 : -1], "orders")).select("track_id", "verdict", "wait")
 
 
-@query(f"WITH {_TRACKS} SELECT source_id, track_id, pk, row_number() OVER (PARTITION BY source_id ORDER BY state <> 'terminated', last_verified, track_id, pk) <= count(*) OVER (PARTITION BY source_id) - 20 AS evicted FROM tk WHERE seq = 1")
+@query(f"WITH {_TRACKS} SELECT source_id, track_id, pk, row_number() OVER (PARTITION BY source_id ORDER BY state <> 'terminated', last_verified, track_id, pk) <= count(*) OVER (PARTITION BY source_id) - 20 AS evicted FROM tk")
 def track_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tracks(spark, sf_dir)[0].withColumn("order_id", F.col("track_id")).withColumn("track_id", F.struct("track_id", "pk"))
     return tracker.evictions(rows, 20).select("source_id", F.col("order_id").alias("track_id"), "pk", "evicted")
@@ -153,7 +153,11 @@ def layout_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.layout_generations(_tracks(spark, sf_dir)[1])
 
 
-@query()
+@query(
+    f"""WITH {_SHIFTS}, path AS (SELECT source_id, seq, sum(CASE WHEN confidence >= 0.3 THEN dx ELSE 0 END) OVER w AS sx, sum(CASE WHEN confidence >= 0.3 THEN dy ELSE 0 END) OVER w AS sy FROM gs WINDOW w AS (PARTITION BY source_id ORDER BY seq)),
+    now AS (SELECT source_id, arg_max(sx, seq) AS nx, arg_max(sy, seq) AS ny FROM path GROUP BY source_id)
+    SELECT px.source_id, px.seq, px.entry_id AS track_id, 'tracking' AS state, CAST(10 + coalesce(nx, 0) - coalesce(sx, 0) AS DOUBLE) AS x, CAST(20 + coalesce(ny, 0) - coalesce(sy, 0) AS DOUBLE) AS y FROM px LEFT JOIN path USING (source_id, seq) LEFT JOIN now USING (source_id)"""
+)
 def compensated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifts = change.global_shift(fx.thumbs(spark, sf_dir))
     tracks = fx.thumbs(spark, sf_dir).select("source_id", "seq", F.col("entry_id").alias("track_id"), F.lit("tracking").alias("state"), F.lit(10.0).alias("x"), F.lit(20.0).alias("y"))
@@ -163,16 +167,44 @@ def compensated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- confirmed events ------------------------------------------------------------------------------------------------
 
 
-@query()
+# An entity's state after its n-th observation; at most one event is confirmed by each.
+_EVENTS = f"""ob AS (SELECT *, row_number() OVER (PARTITION BY source_id, stable_id ORDER BY seq) AS n FROM ({fx.EVENT_ENTITIES}) t),
+walk(source_id, stable_id, n, seq, live, instance, here, here_since, gone, gone_since, seen, maybe, maybe_n, maybe_since, kind, what, from_seq) AS (
+  SELECT source_id, stable_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, 0, 0, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '', 0, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM ob WHERE n = 1
+  UNION ALL
+  SELECT source_id, stable_id, n, seq, (live OR opens) AND NOT closes, instance + CAST(opens AS INTEGER), here, here_since, gone, gone_since,
+    CASE WHEN opens OR changes THEN text ELSE seen END, CASE WHEN differs THEN text ELSE maybe END, CASE WHEN changes OR NOT differs THEN 0 ELSE maybe_n END, maybe_since,
+    CASE WHEN opens THEN 'begin' WHEN changes THEN 'update' WHEN closes THEN 'end' END, CASE WHEN opens THEN 'appeared' WHEN changes THEN 'textChanged' WHEN closes THEN 'disappeared' END,
+    CASE WHEN opens THEN here_since WHEN changes THEN maybe_since ELSE gone_since END
+  FROM (SELECT *, observed = 'present' AND NOT live AND here >= 2 AS opens, observed = 'absent' AND live AND gone >= 2 AS closes, differs AND maybe_n >= 2 AS changes FROM (
+    SELECT *, CASE WHEN NOT differs THEN 0 WHEN again THEN old_n + 1 ELSE 1 END AS maybe_n, CASE WHEN differs AND NOT again THEN seq ELSE old_since END AS maybe_since FROM (
+      SELECT o.source_id, o.stable_id, o.n, o.seq, o.observed, o.text, w.live, w.instance, w.seen, w.maybe, w.maybe_n AS old_n, w.maybe_since AS old_since,
+        CASE WHEN o.observed = 'present' THEN w.here + 1 ELSE 0 END AS here, CASE WHEN o.observed = 'present' AND w.here = 0 THEN o.seq ELSE w.here_since END AS here_since,
+        CASE WHEN o.observed = 'absent' THEN w.gone + 1 ELSE 0 END AS gone, CASE WHEN o.observed = 'absent' AND w.gone = 0 THEN o.seq ELSE w.gone_since END AS gone_since,
+        o.observed = 'present' AND w.live AND o.text <> w.seen AS differs, w.maybe_n > 0 AND w.maybe = o.text AS again
+      FROM walk w JOIN ob o ON o.source_id = w.source_id AND o.stable_id = w.stable_id AND o.n = w.n + 1) a) b) c),
+se AS (SELECT source_id, stable_id, seq, kind, what, from_seq, instance, row_number() OVER (PARTITION BY source_id ORDER BY seq, stable_id, kind, what) AS event_sequence FROM walk WHERE kind IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_EVENTS} SELECT * FROM se")
 def semantic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.numbered(continuous.semantic_events(fx.event_entities(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EVENTS} SELECT * EXCLUDE (age) FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY event_sequence DESC) AS age, greatest(count(*) OVER (PARTITION BY source_id) - 8, 0) AS dropped FROM se) t WHERE age <= 8")
 def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.queued(continuous.numbered(continuous.semantic_events(fx.event_entities(spark, sf_dir))), 8)
 
 
+@query(
+    f"""WITH RECURSIVE {_EVENTS}, la AS (SELECT *, row_number() OVER (PARTITION BY source_id, stable_id ORDER BY n DESC) AS age FROM walk)
+    SELECT la.source_id, la.stable_id, live AS open, instance, CASE WHEN ob.observed = 'present' THEN 'observed' WHEN ob.observed = 'uncovered' OR gone >= 2 AND kind IS NOT NULL THEN 'unanalyzed' ELSE 'occluded' END AS state, seen AS text, la.seq AS last_seq
+    FROM la JOIN ob ON ob.source_id = la.source_id AND ob.stable_id = la.stable_id AND ob.n = la.n WHERE age = 1"""
+)
+def entity_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return continuous.entity_states(fx.event_entities(spark, sf_dir)).drop("label")
+
+
 @query(
     f"""WITH ob AS ({fx.EVENT_ENTITIES}), mk AS (SELECT *, CASE WHEN lag(observed) OVER w = observed THEN 0 ELSE 1 END AS turn FROM ob WINDOW w AS (PARTITION BY source_id, stable_id ORDER BY seq)),
     il AS (SELECT *, sum(turn) OVER (PARTITION BY source_id, stable_id ORDER BY seq) AS island FROM mk)
@@ -260,7 +292,19 @@ def recency_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.kept_by_recency(entries, 2000, ["p_brand"], "p_partkey").select("p_brand", "p_partkey", "running")
 
 
-@query()
+# A scope's cache after each operation: keys from the least to the most recently used, of 164 bytes each, so 2 at most.
+_LRU = f"""op AS (SELECT source_id AS scope, seq, CASE WHEN observed = 'absent' THEN 'lookup' ELSE 'insert' END AS op, CAST(stable_id AS BIGINT) AS key FROM ({fx.EVENT_ENTITIES}) t),
+walk(scope, seq, held, ok, evicted) AS (
+  SELECT scope, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), FALSE, CAST([] AS BIGINT[]) FROM (SELECT DISTINCT scope FROM op) t
+  UNION ALL SELECT w.scope, o.seq,
+    CASE WHEN o.op = 'lookup' THEN (CASE WHEN list_contains(w.held, o.key) THEN list_append(list_filter(w.held, lambda k: k <> o.key), o.key) ELSE w.held END)
+      WHEN list_contains(w.held, o.key) THEN list_append(list_filter(w.held, lambda k: k <> o.key), o.key) ELSE list_append(CASE WHEN len(w.held) >= 2 THEN w.held[2:] ELSE w.held END, o.key) END,
+    o.op = 'insert' OR list_contains(w.held, o.key),
+    CASE WHEN o.op = 'insert' AND NOT list_contains(w.held, o.key) AND len(w.held) >= 2 THEN [w.held[1]] ELSE CAST([] AS BIGINT[]) END
+  FROM walk w JOIN op o ON o.scope = w.scope AND o.seq = w.seq + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LRU} SELECT scope, seq, ok, evicted, CAST(164 * len(held) AS BIGINT) AS used FROM walk WHERE seq > 0")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = fx.event_entities(spark, sf_dir)
     ops = ev.select(F.col("source_id").alias("scope"), "seq", F.when(F.col("observed") == "absent", "lookup").otherwise("insert").alias("op"), F.col("stable_id").alias("key"), F.lit(100).cast("long").alias("n_bytes"))

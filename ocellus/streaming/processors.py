@@ -7,34 +7,32 @@ the last one seen are replays and change nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ocellus.operators.continuous import EVENTS, Entity
+from ocellus.operators.continuous import EVENTS, Entity, with_details
 from ocellus.operators.ids import IdState, Region
 from ocellus.operators.tracker import Track
 
-_ENTITY = "open boolean, instance int, present int, absent int, hidden int, occluded boolean, since long, seen_text string, pending_text string, pending_n int, last_seq long"
+_ENTITY = "open boolean, instance int, present int, present_since long, absent int, absent_since long, hidden int, hidden_since long, occluded boolean, seen array<string>, pending array<string>, pending_n int, pending_since long, last_seq long, state string"
 
 
 def semantic_events(observations: DataFrame) -> DataFrame:
-    """Events of every entity (source_id, stable_id, seq, observed, text) as they are confirmed."""
+    """Events of every entity (source_id, stable_id, seq, observed and details) as they are confirmed."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e = Entity()
-        if state.exists:
-            e.open, e.instance, e.present, e.absent, e.hidden, e.occluded, e.since, seen, pending, e.pending_n, e.last_seq = state.get
-            e.seen, e.pending = (seen, "", ()), (pending, "", ())
+        e = Entity(*state.get) if state.exists else Entity()
+        e.seen, e.pending = tuple(e.seen), tuple(e.pending)
         out = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            out += [(key[0], key[1], at, kind, what, since, n) for kind, what, since, at, n in e.observe(int(r.seq), r.observed, (r.text or "", "", ()))]
-        words = lambda t: t[0] if t else ""
-        state.update((e.open, e.instance, e.present, e.absent, e.hidden, e.occluded, e.since, words(e.seen), words(e.pending), e.pending_n, e.last_seq))
+            out += [(key[0], key[1], int(r.seq), kind, what, since, n) for kind, what, since, _, n in e.observe(int(r.seq), r.observed, (r.text, r.label, r.parents), bool(r.occluder), bool(r.lost), bool(r.notify))]
+        state.update(tuple(list(v) if isinstance(v, tuple) else v for v in astuple(e)))
         yield pd.DataFrame(out, columns=["source_id", "stable_id", "seq", "kind", "what", "from_seq", "instance"])
 
-    return observations.groupBy("source_id", "stable_id").applyInPandasWithState(step, EVENTS, _ENTITY, "append", GroupStateTimeout.NoTimeout)
+    return with_details(observations).groupBy("source_id", "stable_id").applyInPandasWithState(step, EVENTS, _ENTITY, "append", GroupStateTimeout.NoTimeout)
 
 
 def track_states(evidence: DataFrame) -> DataFrame:
@@ -70,7 +68,7 @@ def stable_ids(regions: DataFrame) -> DataFrame:
             if seq <= last:
                 continue
             if last >= 0 and seq != last + 1:
-                s.previous = []
+                s.advance([])
             last = int(seq)
             events, _ = s.advance([Region(r.x, r.y, r.w, r.h, r.text or "") for r in rows.itertuples()])
             out += [(key[0], last, int(i), p.stable_id, e, s.generation) for i, p, e in zip(rows.region_id, s.previous, events, strict=True)]

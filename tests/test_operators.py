@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ocellus.functions import digest, image
 from ocellus.functions import geometry as G
 from ocellus.functions import text as X
-from ocellus.operators import cache, change, continuous, detect, fusion, ids, lines, ocr, relations, tracker, visual_index
+from ocellus.operators import cache, change, continuous, detect, fusion, grouping, ids, lines, ocr, relations, tracker, visual_index
 from ocellus.operators.grouping import map_groups
 
 EV = "frame_id long, evidence_id long, x double, y double, w double, h double, kind string, class_id long, confidence double, text string, label string"
@@ -73,9 +73,10 @@ def test_confirmation_window():
     assert e.observe(1, "present") == []  # a replay counts once
     assert e.observe(2, "present") == [("begin", "appeared", 1, 2, 1)]
     assert e.observe(3, "absent") == [] and e.observe(4, "uncovered") == [] and e.observe(5, "absent") == []
-    assert e.observe(6, "absent") == [("end", "disappeared", 6, 6, 1)]
+    assert e.observe(6, "absent") == [("end", "disappeared", 5, 6, 1)]
     assert e.observe(7, "present") + e.observe(8, "present") == [("begin", "appeared", 7, 8, 2)]
-    assert e.observe(9, "reset") == [("end", "sourceReset", 9, 9, 2)]
+    assert e.observe(9, "reset") == [("end", "sourceReset", 0, 0, 2)]
+    assert e.observe(1, "present") + e.observe(2, "present", notify=False) == [] and e.open and e.instance == 1
 
 
 def test_changed_text_is_confirmed_twice():
@@ -83,7 +84,32 @@ def test_changed_text_is_confirmed_twice():
     e.observe(1, "present", ("a", "", ()))
     e.observe(2, "present", ("a", "", ()))
     assert e.observe(3, "present", ("b", "", ())) == [] and e.observe(4, "present", ("c", "", ())) == []
-    assert e.observe(5, "present", ("c", "", ())) == [("update", "textChanged", 1, 5, 1)]
+    assert e.observe(5, "present", ("c", "", ())) == [("update", "textChanged", 4, 5, 1)]
+    assert e.observe(6, "present", ("c", "l", "7")) == []
+    assert e.observe(7, "present", ("c", "l", "7")) == [("update", "appearanceChanged", 6, 7, 1), ("update", "relationChanged", 6, 7, 1)]
+
+
+def test_occlusion_starts_where_it_was_first_seen():
+    e = continuous.Entity()
+    e.observe(1, "present")
+    e.observe(2, "present")
+    assert e.observe(3, "absent", occluder=True) == [] and e.observe(4, "absent", occluder=True) == [("update", "relationChanged", 3, 4, 1)]
+    assert e.observe(5, "absent", lost=True) == [] and e.state == "trackingLost"
+    assert e.observe(6, "present") == [] and e.observe(7, "present") == [("update", "relationChanged", 6, 7, 1)]
+
+
+def test_an_empty_frame_ends_a_generation(spark):
+    rows = [(1, s, 1, 0.0, 0.0, 9.0, 9.0, "") for s in (1, 2, 4, 5, 9)]
+    got = ids.track(spark.createDataFrame(rows, "source_id long, seq long, region_id long, x double, y double, w double, h double, text string")).collect()
+    assert [(r.stable_id, r.generation) for r in sorted(got, key=lambda r: r.seq)] == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 3)]
+
+
+def test_too_large_a_policy_is_refused(spark):
+    rows = [(i, 0, False, 0, 0, "t", "", 0.0, 0.0, 0.0, 0.0) for i in range(65)]
+    conditions = spark.createDataFrame(rows, "idx int, priority int, bind_stable_id boolean, stable_id long, bound_generation long, text_equals string, label_equals string, roi_x double, roi_y double, roi_w double, roi_h double")
+    with pytest.raises(grouping.BudgetExceeded):
+        continuous.checked_policy(conditions)
+    assert continuous.checked_policy(conditions.where("idx < 64")).count() == 64
 
 
 def test_track_is_lost_after_the_limit():
