@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.functions import digest
-from ocellus.operators import cache, change, continuous, lines, render, tracker
+from ocellus.operators import cache, change, continuous, lines, render, tracker, verification
 from ocellus.plans.perception import SHIFTS as _SHIFTS
 from ocellus.runtime import table
 from ocellus.sources import fixtures as fx
@@ -164,6 +164,79 @@ def compensated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.compensated(tracks, shifts, 0.3)
 
 
+# -- verification ----------------------------------------------------------------------------------------------------
+
+# 25 thumbnails of a source are what a track's window shows at the 25 steps around it; two of its others are templates.
+_NCC = "CASE WHEN va = 0 OR vb = 0 THEN (CASE WHEN a = b THEN 1.0 ELSE 0.0 END) ELSE cov / sqrt(CAST(va AS DOUBLE) * CAST(vb AS DOUBLE)) END"
+_DOT = "CAST(list_sum(list_transform(list_zip({u}, {v}), lambda p: p[1] * p[2])) AS BIGINT)"
+_PARTS = f"64 * {_DOT.format(u='a', v='a')} - list_sum(a) * list_sum(a) AS va, 64 * {_DOT.format(u='b', v='b')} - list_sum(b) * list_sum(b) AS vb, 64 * {_DOT.format(u='a', v='b')} - list_sum(a) * list_sum(b) AS cov"
+_RESPONSES = f"""px AS ({fx.THUMBS_PX}), wi AS (SELECT CAST(source_id AS BIGINT) AS source_id, (seq - 1) // 25 AS track_id, CAST((seq - 1) % 25 % 5 - 2 AS INTEGER) AS dx, CAST((seq - 1) % 25 // 5 - 2 AS INTEGER) AS dy, px FROM px),
+te AS (SELECT source_id, track_id, CAST(row_number() OVER (PARTITION BY source_id, track_id ORDER BY dy, dx) - 1 AS INTEGER) AS place, px FROM wi WHERE (dx = 0 AND dy = 1) OR (dx = 2 AND dy = -2)),
+re AS (SELECT source_id, track_id, place, dx, dy, {_NCC} AS ncc FROM (SELECT *, {_PARTS} FROM (SELECT w.source_id, w.track_id, t.place, w.dx, w.dy, w.px AS a, t.px AS b FROM wi w JOIN te t ON w.source_id = t.source_id AND w.track_id = t.track_id) u) v),
+pk AS (SELECT source_id, track_id, place, max(ncc) FILTER (n = 1) AS ncc, max(dx) FILTER (n = 1) AS dx, max(dy) FILTER (n = 1) AS dy, (max(ncc) FILTER (n = 1) - coalesce(avg(ncc) FILTER (n > 1), 0)) / (coalesce(stddev_pop(ncc) FILTER (n > 1), 0) + 1e-12) AS psr
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_id, track_id, place ORDER BY ncc DESC, greatest(abs(dx), abs(dy)), dy, dx) AS n FROM re) t GROUP BY ALL)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    at = F.col("seq") - 1
+    rows = fx.thumbs(spark, sf_dir).select(F.col("source_id").cast("long").alias("source_id"), F.expr("(seq - 1) div 25").alias("track_id"), F.lit(0).cast("long").alias("seq"), (at % 25 % 5 - 2).cast("int").alias("dx"), (F.expr("(seq - 1) % 25 div 5") - 2).cast("int").alias("dy"), "px")
+    some = rows.where("(dx = 0 and dy = 1) or (dx = 2 and dy = -2)").withColumn("added", F.col("dy") * 5 + F.col("dx"))
+    return rows, verification.kept_templates(some.select("source_id", "track_id", "added", "px"))
+
+
+@query(f"WITH {_RESPONSES} SELECT source_id, track_id, place, dx, dy, round(ncc, 9) AS ncc, CASE WHEN abs(psr) < 1e6 THEN round(psr, 6) END AS psr FROM pk")
+def appearance_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = verification.peaks(verification.responses(*_windows(spark, sf_dir)))
+    return told.select("source_id", "track_id", "place", "dx", "dy", F.round("ncc", 9).alias("ncc"), F.when(F.abs("psr") < 1e6, F.round("psr", 6)).alias("psr"))
+
+
+@query(f"WITH {_RESPONSES} SELECT source_id, track_id, place, CASE WHEN psr < 3 THEN 'none' WHEN ncc >= 0.8 THEN 'strong' WHEN ncc >= 0.6 THEN 'weak' ELSE 'none' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY source_id, track_id ORDER BY ncc DESC, psr DESC, place) AS n FROM pk) t WHERE n = 1")
+def appearance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = verification.appearance(verification.peaks(verification.responses(*_windows(spark, sf_dir))), sidelobe=3.0)
+    return told.select("source_id", "track_id", "place", "outcome")
+
+
+@query(
+    f"""WITH {_RESPONSES}, ng AS (SELECT source_id, track_id, px FROM wi WHERE dx = 1 AND dy = 1)
+    SELECT DISTINCT source_id, track_id, dx, dy FROM (SELECT *, {_NCC} AS ncc FROM (SELECT *, {_PARTS} FROM (SELECT w.source_id, w.track_id, w.dx, w.dy, w.px AS a, n.px AS b FROM wi w JOIN ng n ON w.source_id = n.source_id AND w.track_id = n.track_id) u) v) t WHERE ncc >= 0.5"""
+)
+def impostor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _windows(spark, sf_dir)[0]
+    return verification.impostors(rows, rows.where("dx = 1 and dy = 1"), 0.5).select("source_id", "track_id", "dx", "dy")
+
+
+_STRUCTURE = "st AS (SELECT CAST(l_suppkey AS BIGINT) AS source_id, l_partkey % 8 AS track_id, l_orderkey * 8 + l_linenumber AS seq, (l_quantity % 8) / 8 AS closure, (l_linenumber % 4) / CAST(4 AS DOUBLE) AS rectangularity, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE (l_partkey % 5) / CAST(4 AS DOUBLE) END AS edge_support, l_linenumber AS line FROM lineitem)"
+
+
+@query(
+    f"""WITH {_STRUCTURE}, bs AS (SELECT source_id, track_id, max_by(closure, seq) AS c, max_by(rectangularity, seq) AS r, max_by(edge_support, seq) AS e, max(seq) AS s FROM st WHERE line = 1 AND edge_support IS NOT NULL GROUP BY ALL)
+    SELECT source_id, track_id, seq, CASE WHEN edge_support IS NULL THEN 'notSupplied' WHEN s IS NULL THEN 'noBaseline' WHEN greatest(abs(closure - c) / greatest(c, 1e-12), abs(rectangularity - r) / greatest(r, 1e-12), abs(edge_support - e) / greatest(e, 1e-12)) <= 0.2 THEN 'consistent' ELSE 'deviated' END AS structure FROM st LEFT JOIN bs USING (source_id, track_id)"""
+)
+def structure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = fx.view(spark, sf_dir, _STRUCTURE[_STRUCTURE.index("(") + 1 : -1], "lineitem")
+    return verification.structure(now, verification.baselines(now.where("line = 1"))).select("source_id", "track_id", "seq", "structure")
+
+
+_ATTEMPTS = "att AS (SELECT l_suppkey AS source_id, l_partkey % 3 AS track_id, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq, CASE WHEN l_quantity % 12 = 0 THEN 'recaptured' WHEN l_quantity % 12 = 5 THEN 'associated' ELSE 'failed' END AS outcome FROM lineitem)"
+
+
+@query(
+    f"""WITH {_ATTEMPTS}, ep AS (SELECT *, sum(CASE WHEN outcome <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, track_id ORDER BY seq) AS e FROM att),
+    fl AS (SELECT *, CAST(sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, track_id, e ORDER BY seq) AS INTEGER) AS failures FROM ep),
+    tm AS (SELECT *, max(failures) OVER (PARTITION BY source_id, track_id ORDER BY seq) >= 8 AS over_ FROM fl)
+    SELECT source_id, track_id, seq, outcome, failures, CASE WHEN over_ THEN 'terminated' WHEN outcome = 'failed' THEN 'lost' ELSE 'tracking' END AS state, CASE WHEN outcome = 'failed' AND NOT over_ THEN seq + CAST(least(pow(2, failures - 1), 60) AS BIGINT) END AS due FROM tm"""
+)
+def redetection_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.view(spark, sf_dir, _ATTEMPTS[_ATTEMPTS.index("(") + 1 : -1], "lineitem").withColumn("seq", F.col("seq").cast("long"))
+    return verification.redetections(rows)
+
+
+@query(f"WITH {_ATTEMPTS} SELECT source_id, track_id, seq, outcome, greatest(n - 64, 0) AS evicted FROM (SELECT *, count(*) OVER (PARTITION BY source_id) AS n, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC, track_id DESC) AS age FROM att) t WHERE age <= 64")
+def redetection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.view(spark, sf_dir, _ATTEMPTS[_ATTEMPTS.index("(") + 1 : -1], "lineitem").withColumn("seq", F.col("seq").cast("long"))
+    return verification.record_log(rows)
+
+
 # -- confirmed events ------------------------------------------------------------------------------------------------
 
 
