@@ -273,3 +273,8 @@ def grid_cells(width: Column, height: Column, cell: int) -> Column:
 def grid_locate(x: Column, y: Column, width: Column, cell: int) -> Column:
     """Index of the cell that holds a point."""
     return F.floor(y / cell) * F.ceil(width / cell) + F.floor(x / cell)
+
+
+def grid_image_point(column: Column, row: Column, local_x: Column, local_y: Column, cell: int) -> Column:
+    """Where a place within a cell is in the image."""
+    return F.struct((column * cell + local_x).alias("x"), (row * cell + local_y).alias("y"))

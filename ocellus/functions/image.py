@@ -92,17 +92,58 @@ def resize_area(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.swapaxes((total + sw * sh // 2) // (sw * sh), 0, 1).astype(np.uint8)
 
 
-def letterbox(image: np.ndarray, width: int, height: int, pad: int = 114) -> tuple[np.ndarray, tuple[float, float, int, int]]:
+def letterbox(image: np.ndarray, width: int, height: int, pad: int = 114, resize: Callable = resize_area) -> tuple[np.ndarray, tuple[float, float, int, int]]:
     """Resized to fit, padded to size, with the (scale x, scale y, offset x, offset y) that was carried out."""
     sh, sw = image.shape[:2]
     s = min(width / sw, height / sh)
     w, h = (min(max(int(np.floor(n * s + 0.5)), 1), most) for n, most in ((sw, width), (sh, height)))
     x, y = (width - w) // 2, (height - h) // 2
     out = np.full((height, width, *image.shape[2:]), pad, np.uint8)
-    out[y : y + h, x : x + w] = resize_area(image, w, h)
+    out[y : y + h, x : x + w] = resize(image, w, h)
     return out, (w / sw, h / sh, x, y)
 
 
+def resize_bilinear(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Between the four nearest pixels' centers, halves rounded up; beyond the outermost centers their values hold."""
+
+    def spots(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(target) + 0.5) * source / target - 0.5, 0, source - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, source - 1), at - low
+
+    (x0, x1, fx), (y0, y1, fy) = spots(image.shape[1], width), spots(image.shape[0], height)
+    wide = image.astype(np.float64)
+    extra = (None,) * (image.ndim - 2)
+    fx, fy = fx[(None, slice(None), *extra)], fy[(slice(None), None, *extra)]
+    top = wide[y0][:, x0] * (1 - fx) + wide[y0][:, x1] * fx
+    low = wide[y1][:, x0] * (1 - fx) + wide[y1][:, x1] * fx
+    return np.floor(top * (1 - fy) + low * fy + 0.5).astype(np.uint8)
+
+
+def canvas(image: np.ndarray, multiple: int = 32, pad: int = 0) -> np.ndarray:
+    """Padded to the right and below so that both sides are multiples of ``multiple``."""
+    h, w = image.shape[:2]
+    out = np.full((-(-h // multiple) * multiple, -(-w // multiple) * multiple, *image.shape[2:]), pad, np.uint8)
+    out[:h, :w] = image
+    return out
+
+
+def unpadded(values: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The part of a map over a :func:`canvas` that belongs to the image."""
+    return values[:height, :width].copy()
+
+
+def nv12_crop(luma: np.ndarray, chroma: np.ndarray, x: int, y: int, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of an NV12 image: chroma pairs from half the origin on, half the size rounded up."""
+    pairs = chroma.reshape(-(-luma.shape[0] // 2), -1, 2)
+    return crop(luma, x, y, w, h), pairs[y // 2 : y // 2 + -(-h // 2), x // 2 : x // 2 + -(-w // 2)].reshape(-(-h // 2), -1).copy()
+
+
+def yuv420_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """From three planes, the chroma ones at half the size."""
+    return nv12_rgb(y, np.stack([u, v], 2).reshape(u.shape[0], -1))
+
+
 def change_thumbnail(image: np.ndarray, fmt: str, side: int) -> np.ndarray:
     """Resized first, then gray."""
     return to_gray(resize_area(image, side, side), fmt)

@@ -11,6 +11,8 @@ from ocellus.functions import geometry as G
 from ocellus.operators.grouping import components, map_groups
 
 ENDS = ("x0", "y0", "x1", "y1")
+#: Context of a proposal as a share of its extent, and its least and most pixels.
+CONTEXT_RATIO, CONTEXT_PIXELS = 0.25, (8.0, 64.0)
 
 
 def described(segments: DataFrame) -> DataFrame:
@@ -120,10 +122,11 @@ def junctions(segments: DataFrame, radius: float = 2.0) -> DataFrame:
 
 
 def propose(segments: DataFrame, radius: float = 2.0, min_segments: int = 3, min_closure: float = 0.75) -> DataFrame:
-    """Regions from clusters of at least ``min_segments`` segments and three junctions that close well enough: bounds, closure and rectangularity.
+    """Regions from clusters of at least ``min_segments`` segments and three junctions that close well enough, in order of clusters: bounds, with
+    and without context, closure, rectangularity and edge_support (the share of segments that meet another one).
 
     closure is 1 with a cycle (edges - junctions + 1 >= 1); with exactly two loose ends it is 1 - gap / diagonal; else 0.
-    rectangularity is the length share along or across the dominant direction, from a mean over angles taken four times."""
+    rectangularity is the length share along or across the dominant direction, from a mean over doubled angles."""
     told = described(outlines(segments, radius))
     ends = junctions(segments, radius).join(told.select("frame_id", "segment_id", "cluster"), ["frame_id", "segment_id"])
     loose = ends.groupBy("frame_id", "cluster", "junction").agg(F.count(F.lit(1)).alias("degree"), F.min(F.struct("px", "py")).alias("at"))
@@ -140,8 +143,14 @@ def propose(segments: DataFrame, radius: float = 2.0, min_segments: int = 3, min
     turn = G.angle_difference(F.col("angle"), F.pmod(F.col("main"), F.lit(180.0)))
     aligned = told.join(both.select("frame_id", "cluster", "main", "total"), ["frame_id", "cluster"]).groupBy("frame_id", "cluster").agg((F.sum(F.when((turn <= 10) | (turn >= 80), F.col("length")).otherwise(0.0)) / F.nullif(F.first("total"), F.lit(0.0))).alias("rectangularity"))
     kept = both.where((F.col("segments") >= min_segments) & (F.col("junctions") >= 3) & (F.col("closure") >= min_closure)).join(aligned, ["frame_id", "cluster"])
+    # A segment is supported if one of its ends meets an end of another segment.
+    met = ends.groupBy("frame_id", "cluster", "junction").agg((F.min("segment_id") < F.max("segment_id")).alias("met"))
+    supported = ends.join(met, ["frame_id", "cluster", "junction"]).groupBy("frame_id", "cluster", "segment_id").agg(F.max(F.col("met").cast("int")).alias("met")).groupBy("frame_id", "cluster").agg(F.avg("met").alias("edge_support"))
+    kept = kept.join(supported, ["frame_id", "cluster"])
     box = G.enclosing(G.Rect(F.col("left"), F.col("top"), w, h))
-    return kept.select("frame_id", "cluster", "segments", "junctions", "closure", F.coalesce("rectangularity", F.lit(0.0)).alias("rectangularity"), *(v.cast("double").alias(n) for n, v in zip("xywh", (box.x, box.y, box.w, box.h), strict=True)))
+    wide = G.context_bounds(box, CONTEXT_RATIO, *CONTEXT_PIXELS)
+    shape = lambda r, mark: [v.cast("double").alias(f"{mark}{n}") for n, v in zip("xywh", (r.x, r.y, r.w, r.h), strict=True)]
+    return kept.select("frame_id", "cluster", "segments", "junctions", "closure", F.coalesce("rectangularity", F.lit(0.0)).alias("rectangularity"), "edge_support", *shape(box, ""), *shape(wide, "context_"))
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

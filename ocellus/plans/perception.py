@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocellus.functions import decode, growing
 from ocellus.functions import geometry as G
 from ocellus.functions import text as X
-from ocellus.operators import change, detect, fusion, ids, ocr, relations, visual_index
+from ocellus.operators import change, detect, fusion, ids, ocr, relations, session, visual_index
 from ocellus.runtime import table
 from ocellus.sources import fixtures as fx
 
@@ -297,6 +298,59 @@ def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.report(ocr.budgeted(_lines(spark, sf_dir), 2))
 
 
+@query(f"WITH ev AS ({fx.EVIDENCE}) SELECT frame_id, CAST(32 + sum(CASE WHEN kind = 'text' THEN 64 + strlen(text) + 8 * class_id ELSE 48 + strlen(label) END) AS BIGINT) AS n_bytes FROM ev WHERE kind <> 'external' GROUP BY frame_id")
+def cache_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.payload_bytes(fx.evidence(spark, sf_dir).where("kind <> 'external'").withColumn("corners", F.col("class_id")), ["frame_id"])
+
+
+@query(
+    f"""WITH {_PRIORITY}, sp AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY frame_id ORDER BY execution_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ord)
+    SELECT frame_id, evidence_id, CASE WHEN before >= 50 - 10 THEN 'deferred' WHEN before + w > 60 THEN 'timeout' ELSE 'done' END AS state FROM sp"""
+)
+def budgeted_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = ocr.ordered(_lines(spark, sf_dir))
+    return session.within_budgets(work, ["frame_id"], ["execution_order"], "w", 50, 10, 60).select("frame_id", "evidence_id", "state")
+
+
+_CTC = f"""px AS ({fx.THUMBS_PX}), st AS (SELECT entry_id, t AS step, list_transform(px[t * 8 + 1 : t * 8 + 8], lambda v: v // 32) AS s FROM px, range(0, 8) r(t)),
+sc AS (SELECT *, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS best, 1 / list_sum(list_transform(s, lambda x: exp(CAST(x - list_max(s) AS DOUBLE)))) AS p FROM st),
+fr AS (SELECT *, best <> 0 AND best IS DISTINCT FROM lag(best) OVER (PARTITION BY entry_id ORDER BY step) AS fresh FROM sc)"""
+
+
+@query(f"WITH {_CTC} SELECT entry_id, coalesce(string_agg(substr('-abcdefg', best + 1, 1), '' ORDER BY step) FILTER (fresh), '') AS text, round(coalesce(avg(p) FILTER (fresh), 0), 9) AS confidence FROM fr GROUP BY entry_id")
+def ctc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = fx.thumbs(spark, sf_dir).select("entry_id", "px", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
+    steps = steps.select("entry_id", "step", F.transform(F.slice("px", F.col("step") * 8 + 1, 8), lambda v: F.floor(v / 32).cast("double")).alias("scores"))
+    return decode.ctc(steps, ["entry_id"], list("-abcdefg")).withColumn("confidence", F.round("confidence", 9))
+
+
+_BOXES = "bx AS (SELECT frame_id, evidence_id, greatest((x - 4) / 0.5, 0) AS x0, greatest((y - 6) / 0.5, 0) AS y0, least((x - 4) / 0.5 + w / 0.5, 64) AS x1, least((y - 6) / 0.5 + h / 0.5, 48) AS y1 FROM ev)"
+
+
+@query(f"WITH ev AS ({fx.EVIDENCE}), {_BOXES} SELECT frame_id, evidence_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM bx WHERE x1 > x0 AND y1 > y0")
+def unletterboxed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = fx.evidence(spark, sf_dir).withColumns({"scale_x": F.lit(0.5), "scale_y": F.lit(0.5), "pad_x": F.lit(4), "pad_y": F.lit(6)})
+    return decode.unletterboxed(boxes, F.lit(64.0), F.lit(48.0)).select("frame_id", "evidence_id", *"xywh")
+
+
+@query(
+    f"""WITH ev AS ({fx.EVIDENCE}), m AS (SELECT frame_id, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM ev GROUP BY frame_id), l AS (SELECT *, (xx + yy) / 2 + sqrt((xx - yy) * (xx - yy) / 4 + xy * xy) AS big FROM m),
+    d AS (SELECT *, CASE WHEN abs(big - yy) < 1e-12 AND abs(xy) < 1e-12 THEN (CASE WHEN xx >= yy THEN 1.0 ELSE 0.0 END) ELSE big - yy END AS dx, CASE WHEN abs(big - yy) < 1e-12 AND abs(xy) < 1e-12 THEN (CASE WHEN xx >= yy THEN 0.0 ELSE 1.0 END) ELSE xy END AS dy FROM l)
+    SELECT frame_id, round(mx, 6) AS mx, round(my, 6) AS my, round(abs(dx / sqrt(dx * dx + dy * dy)), 6) AS dx FROM d WHERE abs(xy) > 1e-6"""
+)
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    told = fx.evidence(spark, sf_dir).groupBy("frame_id").agg(growing.principal_axis(x, y).alias("a"), F.covar_pop(x, y).alias("xy")).where("abs(xy) > 1e-6")
+    return told.select("frame_id", F.round("a.mx", 6).alias("mx"), F.round("a.my", 6).alias("my"), F.round(F.abs("a.dx"), 6).alias("dx"))
+
+
+@query(f"WITH RECURSIVE {_REGIONS} SELECT frame_id, region_id, source_mask & 2 <> 0 AS has_text, source_mask & 4 <> 0 AS has_detection, region_id % 3 <> 0 AND region_id % 3 = frame_id % 3 AS current FROM regions")
+def region_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.fuse(fx.evidence(spark, sf_dir))
+    mask = F.col("source_mask")
+    return fused.select("frame_id", "region_id", session.has_source(mask, "text").alias("has_text"), session.has_source(mask, "detection").alias("has_detection"), session.generation_current(F.col("region_id") % 3, F.col("frame_id") % 3).alias("current"))
+
+
 @query()
 def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.merge_lines(fx.evidence(spark, sf_dir).where("kind = 'text'"))
@@ -330,19 +384,23 @@ def refinement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.needs_refinement(fx.evidence(spark, sf_dir).where("kind = 'detection'"), 0.5, 0.1, F.lit(4000.0), 3).select("frame_id", "evidence_id", "rank")
 
 
-@query(
-    f"""WITH RECURSIVE px AS ({fx.THUMBS_PX}), cells AS (SELECT entry_id AS map_id, unnest(range(0, 64)) AS c, unnest(px) AS v FROM px), hot AS (SELECT * FROM cells WHERE v >= 150),
+_MAPS = f"""px AS ({fx.THUMBS_PX}), cells AS (SELECT entry_id AS map_id, unnest(range(0, 64)) AS c, unnest(px) AS v FROM px), hot AS (SELECT * FROM cells WHERE v >= 150),
     near AS (SELECT a.map_id, a.c AS a, b.c AS b FROM hot a JOIN hot b ON a.map_id = b.map_id AND abs(a.c % 8 - b.c % 8) <= 1 AND abs(a.c // 8 - b.c // 8) <= 1),
     reach(map_id, id, other) AS (SELECT map_id, c, c FROM hot UNION SELECT r.map_id, r.id, n.b FROM reach r JOIN near n ON r.map_id = n.map_id AND r.other = n.a),
-    comp AS (SELECT map_id, id AS c, min(other) AS root FROM reach GROUP BY ALL)
-    SELECT map_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY root) - 1 AS INTEGER) AS component, CAST(min(c % 8) AS INTEGER) AS x, CAST(min(c // 8) AS INTEGER) AS y, CAST(max(c % 8) - min(c % 8) + 1 AS INTEGER) AS w, CAST(max(c // 8) - min(c // 8) + 1 AS INTEGER) AS h, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS value_sum
-    FROM comp JOIN hot USING (map_id, c) GROUP BY map_id, root"""
-)
+    comp AS (SELECT map_id, id AS c, min(other) AS root FROM reach GROUP BY ALL),
+    mc AS (SELECT map_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY root) - 1 AS INTEGER) AS component, CAST(min(c % 8) AS INTEGER) AS x, CAST(min(c // 8) AS INTEGER) AS y, CAST(max(c % 8) - min(c % 8) + 1 AS INTEGER) AS w, CAST(max(c // 8) - min(c // 8) + 1 AS INTEGER) AS h, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS value_sum
+    FROM comp JOIN hot USING (map_id, c) GROUP BY map_id, root)"""
+
+
+@query(f"WITH RECURSIVE {_MAPS} SELECT * FROM mc")
 def map_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.components_of_maps(fx.thumbs(spark, sf_dir).withColumnRenamed("entry_id", "map_id"), 8, 150)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_MAPS}, bx AS (SELECT map_id, component, x, y, w, h, CASE WHEN w + h > 0 THEN CAST(w * h AS DOUBLE) * 1.5 / (2 * (w + h)) ELSE 0 END AS d, value_sum / pixels / 255.0 AS score FROM mc WHERE pixels >= 3)
+    SELECT map_id, component, greatest(x - d, 0) AS x, greatest(y - d, 0) AS y, least(x + w + d, 8) - greatest(x - d, 0) AS w, least(y + h + d, 8) - greatest(y - d, 0) AS h, score FROM bx"""
+)
 def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.components_of_maps(fx.thumbs(spark, sf_dir).withColumnRenamed("entry_id", "map_id"), 8, 150)
     return detect.text_boxes(found, 8, 8)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions import digest
-from ocellus.operators import cache, change, continuous, lines, render, tracker, verification
+from ocellus.operators import cache, change, continuous, cycle, lines, render, tracker, verification
 from ocellus.plans.perception import SHIFTS as _SHIFTS
 from ocellus.runtime import table
 from ocellus.sources import fixtures as fx
@@ -301,6 +301,7 @@ def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.accept(fx.tokens(spark, sf_dir), ["token_id"], source="cam", epoch=3, policy=2, generation=1, seq=0).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CONDITION_DDL = "idx int, priority int, bind_stable_id boolean, stable_id long, bound_generation long, text_equals string, label_equals string, roi_x double, roi_y double, roi_w double, roi_h double"
 _CONDITIONS = [(0, 3, True, 2, 5, "", "", 0.0, 0.0, 0.0, 0.0), (1, 1, False, 0, 0, "t1", "", 0.0, 0.0, 0.0, 0.0), (2, 2, False, 0, 0, "t2", "c2", 0.0, 0.0, 0.0, 0.0), (3, 0, False, 0, 0, "", "", 2.0, 2.0, 4.0, 4.0), (4, 9, False, 0, 0, "", "", 0.0, 0.0, 0.0, 0.0)]
 
 
@@ -314,7 +315,7 @@ def attention_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = fx.evidence(spark, sf_dir)
     regions = ev.select(F.lit(0).alias("source_id"), F.col("frame_id").alias("seq"), F.col("evidence_id").alias("pos"), F.col("evidence_id").alias("stable_id"), "x", "y", "w", "h", "text", "label")
     frames = regions.select("source_id", "seq").distinct().withColumn("generation", F.col("seq") % 7)
-    conditions = spark.createDataFrame(_CONDITIONS, "idx int, priority int, bind_stable_id boolean, stable_id long, bound_generation long, text_equals string, label_equals string, roi_x double, roi_y double, roi_w double, roi_h double")
+    conditions = spark.createDataFrame(_CONDITIONS, _CONDITION_DDL)
     told = continuous.resolve(conditions, regions, frames)
     return told.select(F.col("seq").alias("frame_id"), "idx", "priority", "outcome", "focus_id")
 
@@ -350,6 +351,76 @@ def focus_reconsiderations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.reconsiderations(entries, rois).select(F.col("seq").alias("frame_id"), F.col("entry_id").alias("evidence_id"))
 
 
+# -- cycles ----------------------------------------------------------------------------------------------------------
+
+# A source's frames show some of its entities; a frame's first items are covered areas, its last one is being worked on.
+_CYCLE = f"""cv AS (SELECT f.source_id, f.seq, e.evidence_id, e.x, e.y, e.w, e.h, e.text, e.label, e.class_id FROM ({fx.EVIDENCE}) e JOIN ({fx.FRAMES}) f USING (frame_id)),
+cr AS (SELECT * FROM (SELECT source_id, seq, CASE WHEN evidence_id % 5 = 0 THEN 0 ELSE class_id + 1 END AS stable_id, x, y, w / 2 AS w, h / 2 AS h, text, label, row_number() OVER (PARTITION BY source_id, seq, class_id, evidence_id % 5 = 0 ORDER BY evidence_id) AS n FROM cv) t WHERE n = 1),
+ce AS (SELECT source_id, seq, evidence_id AS entry_id, x, y, w, h FROM cv WHERE evidence_id <= 2),
+cw AS (SELECT source_id, seq, evidence_id AS idx, x, y, w + 4 AS w, h + 4 AS h FROM cv WHERE evidence_id >= 4),
+ct AS (SELECT source_id, seq, CAST(1 + (source_id + seq) % 5 AS BIGINT) AS track_id, CASE seq % 4 WHEN 0 THEN 'lost' WHEN 1 THEN 'tracking' WHEN 2 THEN 'uncertain' ELSE 'terminated' END AS state FROM (SELECT DISTINCT source_id, seq FROM cv) t),
+cf AS (SELECT DISTINCT source_id, seq FROM cv)"""
+_HOLDS = "{a}.x <= {r}.x AND {a}.y <= {r}.y AND {r}.x + {r}.w <= {a}.x + {a}.w AND {r}.y + {r}.h <= {a}.y + {a}.h"
+_OBSERVED = f"""{_CYCLE}, sn AS (SELECT r.*, (SELECT min(entry_id) FROM ce e WHERE e.source_id = r.source_id AND e.seq = r.seq AND {_HOLDS.format(a='e', r='r')}) AS here FROM cr r WHERE stable_id <> 0),
+bo AS (SELECT source_id, stable_id, min(seq) AS born FROM sn GROUP BY ALL),
+ask AS (SELECT cf.source_id, cf.seq, stable_id FROM cf JOIN bo ON cf.source_id = bo.source_id AND cf.seq >= born),
+kn AS (SELECT a.*, s.x, s.y, s.w, s.h, s.text, s.label, s.seq IS NOT NULL AS shown, last_value(CASE WHEN s.here IS NOT NULL THEN {{{{'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h}}}} END IGNORE NULLS) OVER (PARTITION BY a.source_id, a.stable_id ORDER BY a.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k
+  FROM ask a LEFT JOIN sn s ON s.source_id = a.source_id AND s.seq = a.seq AND s.stable_id = a.stable_id),
+pl AS (SELECT source_id, seq, stable_id, shown, text, label, CASE WHEN shown THEN x ELSE coalesce(k.x, 0) END AS x, CASE WHEN shown THEN y ELSE coalesce(k.y, 0) END AS y, CASE WHEN shown THEN w ELSE coalesce(k.w, 0) END AS w, CASE WHEN shown THEN h ELSE coalesce(k.h, 0) END AS h FROM kn),
+hd AS (SELECT p.*, ct.state, (SELECT min(entry_id) FROM ce e WHERE e.source_id = p.source_id AND e.seq = p.seq AND {_HOLDS.format(a='e', r='p')}) AS entry, (SELECT min(idx) FROM cw e WHERE e.source_id = p.source_id AND e.seq = p.seq AND {_HOLDS.format(a='e', r='p')}) AS wk,
+  EXISTS (SELECT 1 FROM cr r WHERE r.source_id = p.source_id AND r.seq = p.seq AND least(r.x + r.w, p.x + p.w) > greatest(r.x, p.x) AND least(r.y + r.h, p.y + p.h) > greatest(r.y, p.y)) AS hidden
+  FROM pl p LEFT JOIN ct ON ct.source_id = p.source_id AND ct.seq = p.seq AND ct.track_id = p.stable_id),
+od AS (SELECT source_id, seq, stable_id, CASE WHEN entry IS NOT NULL THEN kind WHEN wk IS NOT NULL THEN kind || 'Pending' ELSE 'uncovered' END AS observed, NOT shown AND state IS DISTINCT FROM 'lost' AND (hidden OR coalesce(state IN ('tracking', 'uncertain'), FALSE)) AS occluder, NOT shown AND state IS NOT DISTINCT FROM 'lost' AS lost, entry, CASE WHEN entry IS NULL THEN wk END AS work, coalesce(text, '') AS text, coalesce(label, '') AS label, x, y, w, h
+  FROM (SELECT *, CASE WHEN shown THEN 'present' ELSE 'absent' END AS kind FROM hd) t)""".replace("{{", "{").replace("}}", "}")
+
+
+def _cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    ev = fx.evidence(spark, sf_dir).drop("source_id").join(fx.frames(spark, sf_dir), "frame_id").select("source_id", "seq", "evidence_id", "x", "y", "w", "h", "text", "label", "class_id")
+    bare = F.col("evidence_id") % 5 == 0
+    regions = ev.select("source_id", "seq", F.when(bare, F.lit(0)).otherwise(F.col("class_id") + 1).alias("stable_id"), "x", "y", (F.col("w") / 2).alias("w"), (F.col("h") / 2).alias("h"), "text", "label", F.row_number().over(Window.partitionBy("source_id", "seq", "class_id", bare).orderBy("evidence_id")).alias("n")).where("n = 1")
+    entries = ev.where("evidence_id <= 2").select("source_id", "seq", F.col("evidence_id").alias("entry_id"), "x", "y", "w", "h")
+    work = ev.where("evidence_id >= 4").select("source_id", "seq", F.col("evidence_id").alias("idx"), "x", "y", (F.col("w") + 4).alias("w"), (F.col("h") + 4).alias("h"))
+    frames = ev.select("source_id", "seq").distinct()
+    state = F.element_at(F.array(*map(F.lit, ("lost", "tracking", "uncertain", "terminated"))), (F.col("seq") % 4 + 1).cast("int"))
+    return frames, regions, entries, work, frames.select("source_id", "seq", (1 + (F.col("source_id") + F.col("seq")) % 5).alias("track_id"), state.alias("state"))
+
+
+@query(f"WITH {_OBSERVED} SELECT * FROM od")
+def cycle_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycle.observations(*_cycle(spark, sf_dir))
+
+
+@query(f"WITH {_OBSERVED} SELECT source_id, seq, stable_id, CASE WHEN observed NOT LIKE '%Pending' THEN observed WHEN work % 2 = 0 THEN replace(observed, 'Pending', '') ELSE 'uncovered' END AS observed FROM od")
+def settled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _cycle(spark, sf_dir)
+    return cycle.settled(cycle.observations(*parts), parts[3].where("idx % 2 = 0")).select("source_id", "seq", "stable_id", "observed")
+
+
+@query(f"WITH {_CYCLE} SELECT source_id, seq, EXISTS (SELECT 1 FROM ce e WHERE e.source_id = cf.source_id AND e.seq = cf.seq) AND NOT EXISTS (SELECT 1 FROM cr r WHERE r.source_id = cf.source_id AND r.seq = cf.seq AND NOT EXISTS (SELECT 1 FROM ce e WHERE e.source_id = r.source_id AND e.seq = r.seq AND {_HOLDS.format(a='e', r='r')})) AS complete FROM cf")
+def coverage_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, regions, entries, *_ = _cycle(spark, sf_dir)
+    return cycle.coverage_complete(frames, regions, entries)
+
+
+@query(
+    f"""WITH {_OBSERVED}, st AS (SELECT * FROM (SELECT source_id, stable_id, seq % 3 AS generation, observed <> 'uncovered' AS open, text, label, x, y, w, h, row_number() OVER (PARTITION BY source_id, stable_id ORDER BY seq DESC) AS age FROM od) t WHERE age = 1),
+    c AS (SELECT * FROM (VALUES (0, 3, 2, '', ''), (1, 1, 0, 't1', ''), (2, 2, 0, 't2', 'c2'), (3, 0, 0, '', '')) t(idx, priority, sid, txt, lab)),
+    h AS (SELECT s.source_id, c.idx, list(stable_id ORDER BY stable_id) FILTER (CASE idx WHEN 0 THEN stable_id = 2 WHEN 3 THEN open AND least(x + w, 6) > greatest(x, 2) AND least(y + h, 6) > greatest(y, 2) ELSE open AND (txt = '' OR text = txt) AND (lab = '' OR label = lab) END) AS ids, max(generation) FILTER (stable_id = 2) AS g FROM st s, c GROUP BY ALL)
+    SELECT source_id, idx, outcome, CASE WHEN outcome = 'resolved' THEN array_to_string(ids, ',') ELSE '' END AS stable_ids FROM (SELECT *, CASE WHEN idx = 0 AND ids IS NOT NULL AND g <> 5 THEN 'staleGeneration' WHEN ids IS NOT NULL THEN 'resolved' WHEN idx = 0 THEN 'unknownStableId' ELSE 'notObserved' END AS outcome FROM h) t"""
+)
+def focus_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = cycle.observations(*_cycle(spark, sf_dir))
+    last = told.withColumn("age", F.row_number().over(Window.partitionBy("source_id", "stable_id").orderBy(F.desc("seq")))).where("age = 1")
+    states = last.select("source_id", "stable_id", (F.col("seq") % 3).alias("generation"), (F.col("observed") != "uncovered").alias("open"), "text", "label", F.lit(0).alias("space"), "x", "y", "w", "h")
+    conditions = spark.createDataFrame(_CONDITIONS, _CONDITION_DDL).withColumn("roi_space", F.lit(0))
+    return cycle.focus_states(conditions, states).withColumn("stable_ids", F.array_join(F.transform("stable_ids", lambda i: i.cast("string")), ","))
+
+
+@query(f"WITH s AS (SELECT o_custkey AS source_id, o_orderkey AS set_at, CAST(o_orderkey % 2 AS BIGINT) AS digest FROM orders) SELECT source_id, set_at, digest, CAST(sum(CASE WHEN p IS NULL OR p <> digest THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY set_at) AS BIGINT) AS revision FROM (SELECT *, lag(digest) OVER (PARTITION BY source_id ORDER BY set_at) AS p FROM s) t")
+def policy_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycle.policy_revisions(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("set_at"), (F.col("o_orderkey") % 2).cast("long").alias("digest")))
+
+
 # -- caches ----------------------------------------------------------------------------------------------------------
 
 
