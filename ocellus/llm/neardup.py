@@ -8,11 +8,13 @@ with one of 0.05 shares one with a probability of 3e-6.
 Equal sets are one class from the start, so groups of copies of any size cost one row. Buckets of up to ``SMALL`` classes give
 all their pairs as candidates, larger ones only pairs with their smallest class; after these have been verified and connected,
 larger buckets that still hold different components compare the pairs between those within the bucket, as far as enough of their
-partial keys agree. Every link is confirmed on the full sets.
+partial keys agree. For that a bucket is cut into blocks of about ``BLOCK`` classes and each pair of blocks is a task of its own;
+classes of the bucket's largest component are only compared with the others. Every link is confirmed on the full sets.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a null ``doc_id`` takes part in no link, has
-a null component and is kept; repeated rows share a class, and so component and verdict; input columns besides doc_id and text
-are ignored whatever their names; an empty table gives an empty result.
+a null component and is kept; rows that share an id but not their words are documents of their own, told apart by their class,
+and both kept if both have the smallest id of what they are linked with; repeated rows share a class, and so component and
+verdict; input columns besides doc_id and text are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ PERCENT = 80
 WORDS = 2
 #: Members compared with one copy of a center's text in one task.
 MEMBERS = 128
+#: Classes of a large bucket in a block.
+BLOCK = 1024
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -110,20 +114,20 @@ def table_keys(partial: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set, null for an empty one) and keys (partial keys as longs)."""
+    """doc_id, h (hash of the text), n_shingles, class (a digest of the set, null for an empty one) and keys (partial keys as longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler()
         for batch in batches:
             n, digest, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = own.set_of(text or "")
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(partial_keys(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "class", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_shingles long, class binary, keys array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -181,14 +185,17 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, "u long, v long, key long")
 
 
-def _candidates(key: int, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a bucket's members to compare: of different components, of sizes that allow a link, with AGREE partial keys in
-    common at least, and with this bucket as the first that they share, so that no other bucket gives the pair again."""
+def _candidates(key: int, side: np.ndarray, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one task's classes to compare: of either side (all, if there is one side), of different components, of sizes that
+    allow a link, with AGREE partial keys in common at least, and with this bucket as the first that they share, so that no other
+    bucket gives the pair again."""
     step = max(1, 1_000_000 // len(ids))
+    two = bool(side.any())
     for i in range(0, len(ids), step):
         rows = slice(i, i + step)
         near = 100 * np.minimum(n[rows, None], n) >= PERCENT * np.maximum(n[rows, None], n)
-        near &= (labels[rows, None] != labels) & (ids[rows, None] < ids)
+        near &= labels[rows, None] != labels
+        near &= side[rows, None] < side if two else ids[rows, None] < ids
         x, y = np.nonzero(near)
         for j in range(0, len(x), 100_000):
             a, b = x[j : j + 100_000] + i, y[j : j + 100_000]
@@ -196,52 +203,75 @@ def _candidates(key: int, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, ke
             keep = same.sum(1) >= AGREE
             a, b, same = a[keep], b[keep], same[keep]
             first = _mix(keys[a, same[:, :KEYS].argmax(1)] * _C1 + keys[a, KEYS + same[:, KEYS:].argmax(1)])
-            own = first == np.uint64(key & (2**64 - 1))
+            own = (first == np.uint64(key & (2**64 - 1))) & same[:, :KEYS].any(1) & same[:, KEYS:].any(1)
             if own.any():
                 yield a[own], b[own]
 
 
-def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows that come sorted by their first column, as (key, other columns of its rows)."""
+def _tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come sorted by their first three columns, as (those, other columns of their rows)."""
     now, held = None, []
     for batch in batches:
-        keys, *cols = (c.to_pylist() for c in batch.columns)
-        for key, *row in zip(keys, *cols, strict=True):
-            if key != now:
+        key, x, y, *cols = (c.to_pylist() for c in batch.columns)
+        for *at, row in zip(key, x, y, zip(*cols, strict=True), strict=True):
+            if at != now:
                 if held:
-                    yield now, held
-                now, held = key, []
+                    yield tuple(now), held
+                now, held = at, []
             held.append(row)
     if held:
-        yield now, held
-
-
-def _linked_across(docs: DataFrame, members: DataFrame) -> DataFrame:
+        yield tuple(now), held
+
+
+def _in_tasks(members: DataFrame) -> DataFrame:
+    """``members`` (key, id, label, ...) once for each pair of blocks that they are in: x and y, the blocks, and side, 1 for a member of
+    the second of two blocks."""
+    own = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = own.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK))
+    cut = most.select("key", F.col("top.label").alias("major"), blocks(F.col("top.m")).alias("majors"), blocks(F.col("total") - F.col("top.m")).alias("minors"))
+    placed = members.join(cut, "key").withColumn("of_major", F.col("label") == F.col("major"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("of_major"), F.col("majors")).otherwise(F.col("minors")))
+    spot = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    of_major = F.transform(upto(zero, F.col("minors") - 1), lambda x: spot(x, F.col("minors") + F.col("block"), 1))
+    first = F.transform(upto(F.col("block"), F.col("minors") + F.col("majors") - 1), lambda y: spot(F.col("block"), y, 0))
+    second = F.transform(upto(zero, F.col("block") - 1), lambda x: spot(x, F.col("block"), 1))
+    spots = F.when(F.col("of_major"), of_major).otherwise(F.concat(first, second))
+    return placed.withColumn("block", block).withColumn("spot", F.explode(spots)).select("key", "spot.x", "spot.y", "spot.side", *[c for c in members.columns if c != "key"])
+
+
+def _linked_across(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
     """Links (u, v) between different components in buckets with ``members`` (key, id, label, n, keys). Pairs are never rows: first the
-    members with anything to compare are found, then their texts meet in their buckets and are compared there."""
+    members with anything to compare are found, then their texts meet in their tasks and are compared there."""
+
+    def arrays(held: list[tuple], n: int) -> list[np.ndarray]:
+        return [np.array([h[c] for h in held], np.int64) for c in range(n)]
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in _buckets_of(batches):
-            ids, labels, n = (np.array([h[c] for h in held], np.int64) for c in range(3))
+        for (key, x, y), held in _tasks_of(batches):
+            side, ids, labels, n = arrays(held, 4)
             some = np.zeros(len(held), bool)
-            for a, b in _candidates(key, ids, labels, n, np.array([h[3] for h in held], np.int64).view(np.uint64)):
+            for a, b in _candidates(key, side, ids, labels, n, np.array([h[4] for h in held], np.int64).view(np.uint64)):
                 some[a] = some[b] = True
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), key)), pa.array(ids[some]), pa.array(labels[some])], ["key", "id", "label"])
+                at = [pa.array(np.full(int(some.sum()), v), pa.int64()) for v in (key, x, y)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(side[some]), pa.array(ids[some]), pa.array(labels[some])], ["key", "x", "y", "side", "id", "label"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler()
 
         def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, held in _buckets_of(batches):
-                yield key, [(i, label, own.set_of(text or "")) for i, label, text in held]
+            for at, held in _tasks_of(batches):
+                yield at, [(*row, own.set_of(text or "")) for *row, text in held]
 
-        for key, held in with_sets(batches):
-            ids, labels = (np.array([h[c] for h in held], np.int64) for c in range(2))
-            sets = [h[2] for h in held]
+        for (key, _, _), held in with_sets(batches):
+            side, ids, labels = arrays(held, 3)
+            sets = [h[3] for h in held]
             n = np.array(list(map(len, sets)), np.int64)
             us, vs = [], []
-            for a, b in _candidates(key, ids, labels, n, np.stack(list(map(partial_keys, sets)))):
+            for a, b in _candidates(key, side, ids, labels, n, np.stack(list(map(partial_keys, sets)))):
                 cuts = np.flatnonzero(np.diff(a, prepend=-1))
                 for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):  # all partners of one member at once
                     mine, others = sets[a[lo]], b[lo:hi]
@@ -253,13 +283,14 @@ def _linked_across(docs: DataFrame, members: DataFrame) -> DataFrame:
                     vs += ids[good].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    dealt = members.select("key", "id", "label", "n", "keys").repartition("key").sortWithinPartitions("key", "id")
-    asked = dealt.mapInArrow(involved, "key long, id long, label long").groupBy("id").agg(F.collect_list(F.struct("key", "label")).alias("asked"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(asked, "id").select("id", "text", F.explode("asked").alias("x")).select("x.key", "id", "x.label", "text")
-    return texts.repartition("key").sortWithinPartitions("key", "id").mapInArrow(compare, "u long, v long")
+    place, order = ["key", "x", "y"], ["key", "x", "y", "side", "id"]
+    dealt = _in_tasks(members).select(*order, "label", "n", "keys").repartition(*place).sortWithinPartitions(*order)
+    asked = dealt.mapInArrow(involved, "key long, x long, y long, side long, id long, label long").groupBy("id").agg(F.collect_list(F.struct(*place, "side", "label")).alias("asked"))
+    texts = _texts(docs, owners, asked).select("id", "text", F.explode("asked").alias("a")).select("a.key", "a.x", "a.y", "a.side", "id", "a.label", "text")
+    return texts.repartition(*place).sortWithinPartitions(*order).mapInArrow(compare, "u long, v long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) whose full sets are similar enough. Each v travels to u's text, at most MEMBERS at a time."""
     # How a pair is dealt must not depend on an order: by a hash of v, over enough places for each of u's members.
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("members")).withColumn("places", F.expr(f"(members + {MEMBERS - 1}) div {MEMBERS}"))
@@ -267,7 +298,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     members = pairs.join(degree, "u").select(F.col("v").alias("id"), "u", place.alias("place"), F.lit(1).alias("role"))
     centers = degree.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
     asked = members.unionByName(centers).groupBy("id").agg(F.collect_list(F.struct("u", "place", "role")).alias("asked"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(asked, "id").select("id", "text", F.explode("asked").alias("x")).select("x.*", "id", "text")
+    texts = _texts(docs, owners, asked).select("id", "text", F.explode("asked").alias("x")).select("x.*", "id", "text")
     dealt = texts.repartition("u", "place").sortWithinPartitions("u", "place", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +319,21 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _texts(docs: DataFrame, owners: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (id of a class, ...) with the text of the row that stands for the class."""
+    return docs.join(asked.join(owners, "id"), ["doc_id", "h"])
+
+
+def _single(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, h, text) with one row of those that agree in id and text, and none without an id."""
+    docs = docs.where("doc_id is not null")
+    again = cut_lineage(told.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if again.isEmpty():
+        return docs
+    once = docs.join(again, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    return docs.join(again, ["doc_id", "h"], "left_anti").unionByName(once)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and label (smallest id of its component) of every id in ``links`` (u, v), by passing on smallest labels and following
     them; both ways aggregate before they shuffle."""
@@ -303,38 +349,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def placed(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, h (hash of its text), n_shingles, component_id and kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     told = cut_lineage(_described(docs))
     some = told.where("doc_id is not null and class is not null")
-    classes = cut_lineage(some.groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys")).alias("x"), F.count(F.lit(1)).alias("copies")).select("class", "copies", "x.*"))
+    first = F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("n"), "keys")).alias("x")
+    # A class has a number of its own: an id may stand for rows of several classes.
+    classes = cut_lineage(some.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("id"), "class", "copies", "x.*"))
+    owners = classes.select("id", "doc_id", "h")
     found = cut_lineage(_buckets(classes))
     pairs = found.where("key is null").select("u", "v").distinct()
-    # An id may stand for two texts, if rows share it: only a class's own text counts.
-    links = cut_lineage(_confirmed(_texts_of(docs, told, classes), pairs))
+    own = _single(docs, told)
+    links = cut_lineage(_confirmed(own, owners, pairs))
     labels = components(links)
     large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = cut_lineage(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"))
     if not mixed.isEmpty():
-        found_across = _linked_across(_texts_of(docs, told, classes), large.join(mixed, "key").join(classes.select("id", "n", "keys"), "id"))
-        links = links.unionByName(cut_lineage(found_across))
+        links = links.unionByName(cut_lineage(_linked_across(own, owners, large.join(mixed, "key").join(classes.select("id", "n", "keys"), "id"))))
         labels = components(links)
-    placed = classes.join(labels, "id", "left").select("class", "copies", F.coalesce("label", "id").alias("component_id"))
+    linked = classes.select("id", "doc_id").join(labels, "id")
+    smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = linked.join(smallest, "label").select("id", "component_id")
+    known = cut_lineage(classes.join(of_class, "id", "left").select("class", "copies", F.coalesce("component_id", "doc_id").alias("component_id")))
     total = told.count()
     # At most 1,000 classes have a thousandth of the rows each; all others are small enough to meet in one task.
     often = F.col("copies") * 1000 >= F.lit(max(total, 1_000_000))
-    hot = [r["class"] for r in placed.where(often).select("class").collect()]
-    narrow = told.select("doc_id", "n_shingles", "class")
+    hot = [r["class"] for r in known.where(often).select("class").collect()]
+    narrow = told.select("doc_id", "h", "n_shingles", "class")
     if hot:
         is_hot = F.coalesce(F.col("class").isin(hot), F.lit(False))
-        joined = narrow.where(is_hot).join(F.broadcast(placed.where(often)), "class", "left").unionByName(narrow.where(~is_hot).join(placed.where(~often), "class", "left"))
+        joined = narrow.where(is_hot).join(F.broadcast(known.where(often)), "class", "left").unionByName(narrow.where(~is_hot).join(known.where(~often), "class", "left"))
     else:
-        joined = narrow.join(placed, "class", "left")
+        joined = narrow.join(known, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts_of(docs: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text per id that stands for a class."""
-    return docs.where(F.col("doc_id").isNotNull())
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
+    return placed(docs).drop("h")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are, one of each group: of rows that agree in id and text one stays, too."""
+    where = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
+    told = cut_lineage(placed(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept"))
+    rest = docs.join(told, where, "left_anti")
+    again = told.where("kept")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(again, where, "left_semi").dropDuplicates(["doc_id", "text"]))
