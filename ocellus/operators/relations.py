@@ -56,12 +56,14 @@ def duplicate_groups(regions: DataFrame, frame: list[str] | None = None, id_col:
 
 
 def entities(regions: DataFrame, frame: list[str] | None = None, id_col: str = "region_id") -> DataFrame:
-    """One entity per duplicate group: the anchor's bounds and semantics, all members' sources and evidence."""
+    """One entity per duplicate group: the anchor's bounds and semantics, all members' sources and evidence, and the smallest stable id of
+    those that have one (not 0), where there is such a column."""
     frame = frame or ["frame_id"]
     told = duplicate_groups(regions, frame, id_col)
     own = F.col(id_col) == F.col("anchor")
     keep = [c for c in ("x", "y", "w", "h", "text", "label", "confidence") if c in regions.columns]
-    return told.groupBy(*frame, "anchor").agg(*(F.max(F.when(own, F.col(c))).alias(c) for c in keep), F.bit_or("source_mask").alias("source_mask"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"), F.count(F.lit(1)).alias("members"))
+    named = [F.coalesce(F.min(F.nullif(F.col("stable_id"), F.lit(0))), F.lit(0)).alias("stable_id")] if "stable_id" in regions.columns else []
+    return told.groupBy(*frame, "anchor").agg(*named, *(F.max(F.when(own, F.col(c))).alias(c) for c in keep), F.bit_or("source_mask").alias("source_mask"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"), F.count(F.lit(1)).alias("members"))
 
 
 def relation_view(regions: DataFrame, frame: list[str] | None = None, id_col: str = "region_id") -> DataFrame:

@@ -9,7 +9,7 @@ from ocellus.functions import decode, growing
 from ocellus.functions import geometry as G
 from ocellus.functions import text as X
 from ocellus.operators import change, detect, fusion, ids, ocr, relations, session, visual_index
-from ocellus.runtime import table
+from ocellus.runtime import table, written
 from ocellus.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -97,7 +97,9 @@ def relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.evidence(spark, sf_dir).withColumnRenamed("evidence_id", "region_id").withColumn("source_mask", fusion.by_kind(F.col("kind"), fusion.SOURCE_BITS)).withColumn("evidence_ids", F.array("region_id"))
+    ev = fx.evidence(spark, sf_dir).withColumnRenamed("evidence_id", "region_id").withColumn("source_mask", fusion.by_kind(F.col("kind"), fusion.SOURCE_BITS))
+    # Read several times below, so worked out once.
+    return written(ev.withColumn("evidence_ids", F.array("region_id")).withColumn("stable_id", F.col("region_id") % 3), "entities")
 
 
 # Groups by walking each frame's regions in order: whoever is free becomes an anchor and takes its free direct duplicates.
@@ -138,17 +140,25 @@ def part_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.part_of_edges(relations.relation_view(_entities(spark, sf_dir)))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+# Views of some frames are broken on purpose: a relation is missing, or its ends are the wrong way round.
+@query(
+    f"""WITH RECURSIVE {_STARS}, kept AS (SELECT DISTINCT frame_id, e.value AS id FROM stars),
+    r AS (SELECT p.frame_id, count(*) AS n FROM pairs p JOIN kept a ON p.frame_id = a.frame_id AND p.first_id = a.id JOIN kept b ON p.frame_id = b.frame_id AND p.second_id = b.id WHERE inter > 0 GROUP BY ALL)
+    SELECT frame_id FROM r WHERE (frame_id % 3 = 0 AND n >= 3) OR frame_id % 5 = 0"""
+)
 def relation_view_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.inconsistencies(relations.relation_view(_entities(spark, sf_dir))).agg(F.count(F.lit(1)).alias("violations"))
+    view = relations.relation_view(_entities(spark, sf_dir)).where("not (frame_id % 3 = 0 and relation_id = 2)")
+    turned = (F.col("frame_id") % 5 == 0) & (F.col("relation_id") == 1)
+    view = view.withColumns({"first_id": F.when(turned, F.col("second_id")).otherwise(F.col("first_id")), "second_id": F.when(turned, F.col("first_id")).otherwise(F.col("second_id"))})
+    return relations.inconsistencies(view).select("frame_id")
 
 
 @query(
-    f"""WITH RECURSIVE {_STARS} SELECT s.frame_id, s.e.value AS anchor, bit_or(CASE kind WHEN 'external' THEN 1 WHEN 'text' THEN 2 ELSE 4 END) AS source_mask, count(*) AS members, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS evidence_ids
+    f"""WITH RECURSIVE {_STARS} SELECT s.frame_id, s.e.value AS anchor, bit_or(CASE kind WHEN 'external' THEN 1 WHEN 'text' THEN 2 ELSE 4 END) AS source_mask, count(*) AS members, coalesce(min(CASE WHEN evidence_id % 3 <> 0 THEN evidence_id % 3 END), 0) AS stable_id, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS evidence_ids
     FROM stars s JOIN ev ON ev.frame_id = s.frame_id AND ev.evidence_id = s.e.key GROUP BY ALL"""
 )
 def relation_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.entities(_entities(spark, sf_dir)).select("frame_id", "anchor", "source_mask", "members", F.array_join(F.transform("evidence_ids", lambda i: i.cast("string")), ",").alias("evidence_ids"))
+    return relations.entities(_entities(spark, sf_dir)).select("frame_id", "anchor", "source_mask", "members", "stable_id", F.array_join(F.transform("evidence_ids", lambda i: i.cast("string")), ",").alias("evidence_ids"))
 
 
 # -- frame to frame --------------------------------------------------------------------------------------------------

@@ -455,11 +455,21 @@ def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.replay(ops, 400)
 
 
-@query("SELECT count(DISTINCT (p_brand, p_type, p_size)) AS keys, count(DISTINCT (p_brand, p_type, p_size)) AS digests FROM part")
+# 64-bit FNV-1a in wide integers, over a mark of the half, then each field: texts with their length, numbers in 8 bytes.
+_U64 = "list_transform(range(0, 8), lambda i: (CAST({v} AS BIGINT) >> i * 8) & 255)"
+_TEXT = f"list_concat({_U64.format(v='strlen({c})')}, list_transform(string_split({{c}}, ''), lambda c: ascii(c)))"
+_FNV = "list_reduce(list_transform(list_concat([{mark}], raw), lambda b: CAST(b AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) & 18446744073709551615, CAST(14695981039346656037 AS HUGEINT))"
+_SIGNED = "CAST(CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END AS BIGINT)"
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT p_brand, p_type, CAST(p_size AS BIGINT) AS p_size FROM part), r AS (SELECT *, list_concat({_TEXT.format(c='p_brand')}, {_TEXT.format(c='p_type')}, {_U64.format(v='p_size')}) AS raw FROM k),
+    d AS (SELECT *, {_FNV.format(mark=1)} AS hi, {_FNV.format(mark=2)} AS lo FROM r)
+    SELECT p_brand, p_type, p_size, {_SIGNED.format(h='hi')} AS key_hi, {_SIGNED.format(h='lo')} AS key_lo FROM d"""
+)
 def key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size")).distinct()
-    told = digest.with_digest(keys, ["p_brand", "p_type", "p_size"])
-    return told.agg(F.count(F.lit(1)).alias("keys"), F.countDistinct("key_hi", "key_lo").alias("digests"))
+    return digest.with_digest(keys, ["p_brand", "p_type", "p_size"])
 
 
 # -- marks -----------------------------------------------------------------------------------------------------------

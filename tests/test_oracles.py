@@ -41,5 +41,6 @@ def test_same_rows(spark, con, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).columns
+def test_the_others_are_compared_with_brute_force(spark, sf_dir, name):
+    assert name in {"merged_lines", "merged_segments", "region_proposals", "oriented_boxes", "mark_chips"}  # see test_brute.py
+    assert catalog.QUERIES[name](spark, sf_dir).count()

@@ -1,32 +1,14 @@
-"""Queries run over their whole tables, also where the SQL that checks them takes a part: here it is the SQL without that part's filter."""
+"""Queries run over their whole tables and whole texts."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_oracles import con, rows_of  # noqa: F401
 
 from ocellus.operators import render
 from ocellus.plans import catalog
 from ocellus.sources import fixtures as fx
 
-WHOLE = {
-    "change_gate": {" WHERE l_linenumber <= 4": ""},
-    "layout_generations": {" WHERE l_linenumber <= 4": ""},
-    "track_evictions": {" WHERE l_linenumber <= 4": "", " WHERE seq = 1": ""},
-    "visual_search": {"entry_id % 50 = 0": "entry_id % 20 = 0"},
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_same_rows_as_whole_sql(spark, con, sf_dir, name):  # noqa: F811
-    sql = catalog.ORACLE_SQL[name]
-    for part, whole in WHOLE[name].items():
-        sql = sql.replace(part, whole)
-    df, result = catalog.QUERIES[name](spark, sf_dir), con.execute(sql)
-    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
-
-
 def test_compensated_tracks_has_every_frame(spark, sf_dir):
     frames = lambda df: sorted((r.source_id, r.seq) for r in df.select("source_id", "seq").collect())
     assert frames(catalog.QUERIES["compensated_tracks"](spark, sf_dir)) == frames(fx.thumbs(spark, sf_dir))
