@@ -45,10 +45,10 @@ def compatible(a: str, b: str) -> Column:
     return ~both | ((F.col(f"{a}.class_id") == F.col(f"{b}.class_id")) & ((la == "") | (lb == "") | (la == lb)))
 
 
-def frame_pairs(df: DataFrame, frame: list[str], id_col: str) -> DataFrame:
-    """All pairs a.id < b.id of overlapping rectangles of a frame, as structs a and b. The frame is an equi-key, so this is a hash or
-    merge join with a range condition on top, not a nested loop."""
-    cols = F.struct(*(F.col(c) for c in df.columns if c not in frame))
+def frame_pairs(df: DataFrame, frame: list[str], id_col: str, *more: str) -> DataFrame:
+    """All pairs a.id < b.id of overlapping rectangles of a frame, as structs a and b of id, rectangle and ``more``. The frame is an equi-key,
+    so this is a hash or merge join with a range condition on top, not a nested loop; nothing else travels."""
+    cols = F.struct(id_col, *"xywh", *more)
     a, b = df.select(*frame, cols.alias("a")), df.select(*frame, cols.alias("b"))
     return a.join(b, frame).where((F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & G.overlaps(G.Rect.of("a."), G.Rect.of("b.")))
 
@@ -58,7 +58,7 @@ def associate(evidence: DataFrame, frame: list[str] | None = None, iou_threshold
     frame = frame or ["frame_id"]
     a, b = G.Rect.of("a."), G.Rect.of("b.")
     iou, inside = G.iou(a, b), G.containment(a, b)
-    found = frame_pairs(evidence, frame, "evidence_id").where(compatible("a", "b")).select(*frame, F.col("a.evidence_id").alias("first_id"), F.col("b.evidence_id").alias("second_id"), iou.alias("iou"), inside.alias("containment"), G.center_distance(a, b).alias("center_distance"))
+    found = frame_pairs(evidence, frame, "evidence_id", "kind", "class_id", "label").where(compatible("a", "b")).select(*frame, F.col("a.evidence_id").alias("first_id"), F.col("b.evidence_id").alias("second_id"), iou.alias("iou"), inside.alias("containment"), G.center_distance(a, b).alias("center_distance"))
     rule = F.when(F.col("iou") >= iou_threshold, "iou").when(F.col("containment") >= containment_threshold, "containment")
     return found.withColumn("rule", rule).where(F.col("rule").isNotNull())
 

@@ -96,15 +96,23 @@ def endpoints(segments: DataFrame) -> DataFrame:
     return segments.select("frame_id", "segment_id", ends).select("frame_id", "segment_id", "slot", "p.px", "p.py")
 
 
+#: Half of a cell's neighbours, and itself: each pair of near cells meets once.
+_FORWARD = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+
+
 def near_ends(segments: DataFrame, radius: float = 2.0) -> DataFrame:
-    """Pairs of ends of different segments within ``radius``. Ends meet by grid cells of that size, a cell and its neighbours, so the join has
-    an equi-key however many segments a frame holds."""
+    """Pairs of ends of different segments within ``radius``. Ends meet by grid cells of that size, in their own cell and in half of its
+    neighbours, so the join has an equi-key however many segments a frame holds, and no pair is met twice."""
     ends = endpoints(segments).withColumn("cx", F.floor(F.col("px") / radius)).withColumn("cy", F.floor(F.col("py") / radius))
-    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("d")
-    left = ends.select("frame_id", (F.col("cx")).alias("cx"), "cy", F.struct("segment_id", "slot", "px", "py").alias("a"))
-    right = ends.select("frame_id", "cx", "cy", steps, F.struct("segment_id", "slot", "px", "py").alias("b")).select("frame_id", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "b")
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _FORWARD))).alias("d")
+    end = F.struct("segment_id", "slot", "px", "py")
+    left = ends.select("frame_id", "cx", "cy", end.alias("a"))
+    right = ends.select("frame_id", "cx", "cy", steps, end.alias("b")).select("frame_id", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "b", ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
     dx, dy = F.col("a.px") - F.col("b.px"), F.col("a.py") - F.col("b.py")
-    return left.join(right, ["frame_id", "cx", "cy"]).where((F.col("a.segment_id") < F.col("b.segment_id")) & (dx * dx + dy * dy <= radius * radius)).select("frame_id", F.col("a.segment_id").alias("first_id"), F.col("a.slot").alias("first_slot"), F.col("b.segment_id").alias("second_id"), F.col("b.slot").alias("second_slot"))
+    order = F.col("a.segment_id") < F.col("b.segment_id")
+    met = left.join(right, ["frame_id", "cx", "cy"]).where((F.col("a.segment_id") != F.col("b.segment_id")) & (~F.col("own") | order) & (dx * dx + dy * dy <= radius * radius))
+    first, second = F.when(order, F.col("a")).otherwise(F.col("b")), F.when(order, F.col("b")).otherwise(F.col("a"))
+    return met.select("frame_id", first["segment_id"].alias("first_id"), first["slot"].alias("first_slot"), second["segment_id"].alias("second_id"), second["slot"].alias("second_slot"))
 
 
 def outlines(segments: DataFrame, radius: float = 2.0) -> DataFrame:

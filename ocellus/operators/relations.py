@@ -31,7 +31,7 @@ def classify_pairs(regions: DataFrame, frame: list[str] | None = None, id_col: s
     frame = frame or ["frame_id"]
     a, b = G.Rect.of("a."), G.Rect.of("b.")
     reliable = (F.col("a.confidence") >= MIN_MERGE_CONFIDENCE) & (F.col("b.confidence") >= MIN_MERGE_CONFIDENCE)
-    pairs = frame_pairs(regions, frame, id_col)
+    pairs = frame_pairs(regions, frame, id_col, "label", "text", "confidence")
     kind = relation(a, b, semantics_compatible("a", "b"), reliable)
     return pairs.select(*frame, F.col(f"a.{id_col}").alias("first_id"), F.col(f"b.{id_col}").alias("second_id"), kind.alias("relation"), G.iou(a, b).alias("iou"), G.containment(a, b).alias("containment"), G.size_ratio(a, b).alias("size_ratio"), (G.Rect.of("a.").area <= G.Rect.of("b.").area).alias("first_smaller"))
 
