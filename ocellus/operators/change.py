@@ -70,6 +70,19 @@ def detect(frames: DataFrame, side: int = 8, block: int = 2, threshold: int = BL
     return told.withColumn("changed_ratio", part).withColumn("classification", kind).drop("sums")
 
 
+def ignored_blocks(rects: list[tuple[float, float, float, float]], side: int = 8, block: int = 2, frame_w: int = 1280, frame_h: int = 720) -> list[int]:
+    """Numbers of the blocks that lie wholly in one of ``rects`` (x, y, w, h) of a frame, for :func:`detect`."""
+    n = -(-side // block)
+    out = []
+    for i in range(n * n):
+        left, top = (k * block for k in (i % n, i // n))
+        right, bottom = min(side, left + block), min(side, top + block)
+        x0, y0, x1, y1 = left * frame_w / side, top * frame_h / side, right * frame_w / side, bottom * frame_h / side
+        if any(x <= x0 and y <= y0 and x1 <= x + w and y1 <= y + h for x, y, w, h in rects):
+            out.append(i)
+    return out
+
+
 def changed_regions(detected: DataFrame, side: int = 8, block: int = 2, frame_w: int = 1280, frame_h: int = 720) -> DataFrame:
     """One row per 8-connected component of changed blocks, in order of their first block, as a rectangle of the frame."""
     n = -(-side // block)

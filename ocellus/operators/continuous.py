@@ -98,10 +98,14 @@ def stale_reason(source: str, epoch: int, policy: int, generation: int, seq: int
 
 
 def accept(tokens: DataFrame, batch: list[str], **now) -> DataFrame:
-    """``tokens`` with reason and accepted: a token that was never handed out counts as one of another frame; what is handed in twice is a
-    duplicate; a batch is accepted as a whole or not at all."""
+    """``tokens`` with reason and accepted: a token that was never handed out counts as one of another frame; what is handed in twice, now
+    or before (adopted, where there is such a column), is a duplicate; one whose ROI holds other pixels now (content_digest and
+    now_digest) doesn't fit; a batch is accepted as a whole or not at all."""
     again = F.row_number().over(Window.partitionBy(*batch, "token_id").orderBy("token_id")) > 1
-    reason = F.coalesce(stale_reason(**now), F.when(~F.col("in_flight"), "staleFrameSequence"), F.when(again, "duplicateSubmission"))
+    if "adopted" in tokens.columns:
+        again = again | F.col("adopted")
+    other = F.col("content_digest") != F.col("now_digest") if "now_digest" in tokens.columns else F.lit(False)
+    reason = F.coalesce(stale_reason(**now), F.when(~F.col("in_flight"), "staleFrameSequence"), F.when(again, "duplicateSubmission"), F.when(other, "contentMismatch"))
     told = tokens.withColumn("reason", reason)
     return told.withColumn("accepted", F.max(F.col("reason").isNotNull().cast("int")).over(Window.partitionBy(*batch)) == 0)
 
@@ -251,6 +255,23 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.withColumn("event_sequence", F.row_number().over(order).cast("long"))
 
 
+def event_violations(events: DataFrame) -> DataFrame:
+    """Numbered events that cannot be: a gap in a source's sequence, a window that ends before it begins, an instance below 1, or an update or
+    end of an instance that has not begun or is over. Empty if all is well."""
+    own, of = Window.partitionBy("source_id").orderBy("event_sequence"), Window.partitionBy("source_id", "stable_id").orderBy("event_sequence")
+    gap = F.col("event_sequence") - F.lag("event_sequence").over(own) != 1
+    last = F.lag(F.struct("kind", "instance")).over(of)
+    open_ = last.isNotNull() & (last["kind"] != "end") & (last["instance"] == F.col("instance"))
+    fine = F.when(F.col("kind") == "begin", last.isNull() | (last["kind"] == "end")).otherwise(open_)
+    problem = F.when(F.coalesce(gap, F.lit(False)), "gap").when(F.col("from_seq") > F.col("seq"), "window").when(F.col("instance") < 1, "instance").when(~fine, "order")
+    return events.withColumn("problem", problem).where("problem is not null")
+
+
+def undrained(events: DataFrame, drained: DataFrame) -> DataFrame:
+    """Events that no drain has handed out yet (``drained``: source_id, event_sequence), in order of sources and sequence."""
+    return events.join(drained.select("source_id", "event_sequence"), ["source_id", "event_sequence"], "left_anti").orderBy("source_id", "event_sequence")
+
+
 def queued(events: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
     """The newest ``most`` events a source holds until they are drained, with dropped: how many older ones made room."""
     newest = Window.partitionBy("source_id").orderBy(F.desc("event_sequence"))

@@ -86,3 +86,12 @@ def merge_lines(lines: DataFrame, offset: float = 0.5, gap: float = 1.0, separat
     """Lines of a frame merged into visual lines; texts are joined in the order of taking."""
     cols = lines.select("frame_id", "evidence_id", "x", "y", "w", "h", "text", "confidence")
     return map_groups(cols, ["frame_id"], ["y", "x", "evidence_id"], lambda rows: _merge(rows, offset, gap, separator), "frame_id long, line long, x double, y double, w double, h double, text string, confidence double, merged int")
+
+
+def report_violations(states: DataFrame, reports: DataFrame, frame: list[str] | None = None) -> DataFrame:
+    """Frames whose report does not follow from their lines' states: other counts, a stop reason without deferred lines or none with them.
+    Empty if all is well."""
+    frame = frame or ["frame_id"]
+    names = ["detected", "recognized", "deferred", "stop_reason", "complete"]
+    again = report(states, frame).select(*frame, F.struct(*names).alias("want"))
+    return reports.select(*frame, F.struct(*names).alias("got")).join(again, frame, "full").where(~F.col("got").eqNullSafe(F.col("want"))).select(*frame)

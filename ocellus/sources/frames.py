@@ -41,3 +41,10 @@ def write_marks(marks: DataFrame, path: str) -> None:
 def write_events(events: DataFrame, path: str) -> None:
     """Appends confirmed events, partitioned by source."""
     events.write.mode("append").partitionBy("source_id").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """What a scene's frames show, as people have marked it: one JSON document a file, a row per box."""
+    schema = "scene_id string, frames array<struct<seq: long, boxes: array<struct<x: double, y: double, w: double, h: double, label: string, text: string>>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select("scene_id", F.explode("frames").alias("f"))
+    return rows.select("scene_id", F.col("f.seq").alias("seq"), F.posexplode("f.boxes").alias("pos", "b")).select("scene_id", "seq", "pos", "b.*")
