@@ -26,7 +26,7 @@ from ocellus.llm.pretokens import split
 
 #: What a worker remembers of pre-tokens, in bytes, in each of two generations: when the young one is full, it replaces the old one.
 #: A pre-token counts with its text, 4 bytes an id and MEMO_ENTRY for the objects and their place in the table.
-MEMO_BYTES, MEMO_ENTRY = 48 << 20, 170
+MEMO_BYTES, MEMO_ENTRY = 24 << 20, 170
 #: Pairs of neighbours remembered, of about 130 bytes each.
 MEMO_PAIRS = 150_000
 #: Bytes of texts whose ids are held at once, at least one text's.

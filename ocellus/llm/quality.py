@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm import labels as lab
+from ocellus.llm.batches import slices
 
 #: Labelled rows, and bytes of their texts, learned from at most.
 MOST_ROWS, MOST_BYTES = 3_000, 16 << 20
@@ -240,8 +241,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network()
         own.p, own.shift = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.probabilities([(t or "").encode() for t in batch.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
+        for part in slices(batches, 4 * PIECE):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.probabilities([(t or "").encode() for t in part.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(lab.bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm import labels as lab
+from ocellus.llm.batches import slices
 
 #: Labelled rows, and bytes of their texts, learned from at most.
 MOST_ROWS, MOST_BYTES = 6_000, 32 << 20
@@ -35,7 +36,8 @@ L2 = 1e-4
 #: A feature is learned from if it is seen in so many labelled texts, and more or less often in toxic ones than chance would
 #: have it (chi-squared with one degree of freedom): rare words that mean nothing would drown long texts in noise.
 MIN_TEXTS, MIN_CHI2 = 3, 16.0
-MEMO_SIZE = 300_000
+#: Words whose weights a worker remembers, and bytes of texts in a piece worked on at once.
+MEMO_SIZE, PIECE = 100_000, 2 << 20
 
 # Names of groups whose mention is neutral, by language.
 IDENTITY = {
@@ -58,37 +60,28 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
 
 
-def swapped(found: set[str], rng: random.Random) -> tuple[set[str], set[str]] | None:
-    """The words of a text and of a counterfactual; None if the text has no name and none is put in."""
-    named = sorted(w for w in found if w in _SAME)
+def swapped(named: list[str], rng: random.Random) -> tuple[list[str], list[str]] | None:
+    """Names in a text (given sorted) and those that stand for them in a counterfactual; None if it has none and none is put in."""
     if not named:
         if rng.random() > 0.25:
             return None
         named = [rng.choice(sorted(_SAME))]
-    own = found | set(named)
-    return own, (own - set(named)) | {rng.choice(_SAME[w]) for w in named}
-
-
-def _csr(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    flat, row = [], []
-    for i, s in enumerate(sets):
-        ids = [index[f] for w in s for f in features(w) if f in index]
-        flat += ids
-        row += [i] * len(ids)
-    return np.array(flat, np.int64), np.array(row, np.int64)
+    return named, sorted({rng.choice(_SAME[w]) for w in named})
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 3) -> dict:
-    """Weights of features and the intercept, by Adam on the whole sample."""
+    """Weights of features and the intercept, by Adam on the whole sample. Texts are kept as numbers of their words only."""
     if not rows:
         return {"bias": -50.0, "weights": {}}
     rng = random.Random(seed)
-    known: dict[str, str] = {}
-    sets, y = [{known.setdefault(w, w) for w in words(t)} for t, _ in rows], np.array([label for _, label in rows], float)
-    pairs = [p for s in sets if (p := swapped(s, rng))]
+    number: dict[str, int] = {}
+    sets, pairs, y = [], [], np.array([label for _, label in rows], float)
     seen: dict[str, list[int]] = {}
-    for s, label in zip(sets, y, strict=True):
-        for f in {f for w in s for f in features(w)}:
+    for text, label in rows:
+        found = sorted(words(text))
+        sets.append(np.array([number.setdefault(w, len(number)) for w in found], np.int32))
+        pairs.append(swapped([w for w in found if w in _SAME], rng))
+        for f in {f for w in found for f in features(w)}:
             seen.setdefault(f, [0, 0])[int(label)] += 1
     toxic, clean = max(y.sum(), 1), max((1 - y).sum(), 1)
 
@@ -97,12 +90,25 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> dict:
         odds = in_toxic * (clean - in_clean) - in_clean * (toxic - in_toxic)
         return had >= MIN_TEXTS and odds**2 * (toxic + clean) >= MIN_CHI2 * had * lacked * toxic * clean
 
-    kept = [f for f, n in seen.items() if told(*n)] + [f for w in _SAME for f in features(w)]
-    index = {f: i for i, f in enumerate(dict.fromkeys(kept))}
-    x, row = _csr(sets, index)
-    a, a_row = _csr([p[0] for p in pairs], index)
-    b, b_row = _csr([p[1] for p in pairs], index)
-    n, m, d = len(sets), len(pairs), len(index)
+    kept = sorted({f for f, n in seen.items() if told(*n)} | {f for w in _SAME for f in features(w)})
+    seen.clear()
+    index = {f: i for i, f in enumerate(kept)}
+    for w in _SAME:
+        number.setdefault(w, len(number))
+    known = [[index[f] for f in features(w) if f in index] for w in number]
+
+    def columns(ids) -> list[int]:
+        return [c for i in ids for c in known[i]]
+
+    def csr(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([c for p in parts for c in p], np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+    x, row = csr([columns(s) for s in sets])
+    both = [(s, *p) for s, p in zip(sets, pairs, strict=True) if p]
+    numbers = lambda names: {number[w] for w in names}
+    a, a_row = csr([columns(sorted(set(s.tolist()) | numbers(old))) for s, old, _ in both])
+    b, b_row = csr([columns(sorted(set(s.tolist()) - numbers(old) | numbers(new))) for s, old, new in both])
+    n, m, d = len(sets), len(both), len(index)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # either label counts for half
     w, bias = np.zeros(d), 0.0
     m1, m2, b1, b2 = np.zeros(d), np.zeros(d), 0.0, 0.0
@@ -151,8 +157,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        for part in slices(batches, PIECE):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.score(t or "") for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(lab.bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
@@ -168,11 +174,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 def clean_rows(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, as they are: each is judged where it stands, whatever its id."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
-        for batch in batches:
-            kept = pa.array([own.score(t or "") < THRESHOLD for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(kept)
+        for part in slices(batches, PIECE, place):
+            yield part.filter(pa.array([own.score(str(t) if t is not None else "") < THRESHOLD for t in part.column(place).to_pylist()], pa.bool_()))
 
-    return docs.select("*", F.col("text").cast("string").alias("__judged")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
