@@ -6,46 +6,37 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ocellus.llm import bpe, mixing, neardup, rules, toxicity
 from ocellus.runtime import scratch_path, ship, table
 
 
-
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id ``verdicts`` (doc_id, kept) keeps. Rows with a null id are kept if their verdict is."""
-    gone = verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. A null text is judged as an empty one; ids don't matter."""
     ship(spark)
-    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
-    return _kept(docs, scored.select("doc_id", (F.col("predicted") == 0).alias("kept")))
+    return toxicity.clean_rows(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def rules_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null text has no words and goes; ids don't matter."""
     ship(spark)
-    return _kept(docs, rules.judge(docs).select("doc_id", "kept"))
+    return rules.kept_rows(docs)
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, and all without an id or without words."""
     ship(spark)
-    return _kept(docs, neardup.near_duplicates(docs).select("doc_id", "kept"))
+    return neardup.kept_rows(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares; documents that the mix takes twice come twice."""
+    """Sources in their target shares; documents that the mix takes twice come twice. A null source is one of its own."""
     ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every text."""
+    """doc_id and token ids of every text; a null text has none."""
     ship(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
