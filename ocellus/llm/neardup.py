@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.runtime import cut_lineage
+from ocellus.runtime import cut_lineage, sweep
 
 KEYS, HASHES = 14, 3
 SMALL = 8
@@ -359,14 +359,17 @@ def placed(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(some.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("id"), "class", "copies", "x.*"))
     owners = classes.select("id", "doc_id", "h")
     found = cut_lineage(_buckets(classes))
+    sweep(docs.sparkSession)
     pairs = found.where("key is null").select("u", "v").distinct()
     own = _single(docs, told)
     links = cut_lineage(_confirmed(own, owners, pairs))
+    sweep(docs.sparkSession)
     labels = components(links)
     large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = cut_lineage(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"))
     if not mixed.isEmpty():
         links = links.unionByName(cut_lineage(_linked_across(own, owners, large.join(mixed, "key").join(classes.select("id", "n", "keys"), "id"))))
+        sweep(docs.sparkSession)
         labels = components(links)
     linked = classes.select("id", "doc_id").join(labels, "id")
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
