@@ -61,10 +61,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
     for i in range(ARRIVALS):
         store.append(docs.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(ARRIVALS)) == i), i)
-        store.compact()
-    shards = spark.createDataFrame([(s.path, s.rows, s.n_bytes) for s in store.manifest()] or [("", 0, 0)], "__path string, shard_rows long, shard_bytes long")
-    rows = store.read().join(shards, "__path")
-    return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("__tier").alias("tier"), "shard_rows", "shard_bytes")
+        store.vacuum(store.compact())
+    rows = store.read().select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), "tier", "path")
+    return rows.join(store.sizes(), "path").select("doc_id", "n_bytes", "tier", "shard_rows", "shard_bytes")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
-            FROM embeddings WHERE embedding IS NOT NULL),
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
