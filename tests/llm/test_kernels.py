@@ -1,6 +1,7 @@
 """Pure-Python parts against the libraries and against brute force."""
 
 import base64
+import math
 import random
 import re
 from collections import Counter
@@ -45,7 +46,7 @@ def test_bpe_equals_library(text):
         test_bpe_equals_library.enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ids = bpe.coder(MULTI).encode(text)
     assert ids == test_bpe_equals_library.enc.encode_ordinary(text)
-    assert bpe.coder(MULTI).decode(ids) == text.encode()
+    assert bpe.decode_ids(np.array(ids, np.int64), MULTI).tobytes() == text.encode()
 
 
 def test_bpe_is_linear_on_long_runs(library):
@@ -84,18 +85,22 @@ def test_base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
-    assert rules.base_counts(text) == (len(words), sum(map(len, words)), sum(c in rules.SYMBOLS for c in text), dup, brute_repeats(words))
+    assert rules.base_counts(text.encode()) == (len(words), sum(map(len, words)), sum(c in rules.SYMBOLS for c in text), dup, brute_repeats(words))
 
 
 def test_ngram_codes_and_padding():
-    code, sizes = rules._codes(["ab", "", "A"])
-    a, b = int(rules.FOLD[ord("a")]), int(rules.FOLD[ord("b")])
-    assert code.tolist() == [a, a << 6 | b, a] and sizes.tolist() == [2, 0, 1]
+    code, sizes = rules.codes([b"ab", b"", b"A", b"abcdef"])
+    number = lambda x: int.from_bytes(x, "big")
+    assert code.tolist() == [number(x) for x in (b"a", b"ab", b"A", b"a", b"ab", b"abc", b"abcd", b"abcde", b"bcdef")] and sizes.tolist() == [2, 0, 1, 6]
 
 
 def test_unseen_ngrams_back_off():
-    m = rules.Model(np.array([1, 1, 2, -1]), np.array([1, 2, 1 << 6 | 2, 1]), np.array([100, 200, 10, 5]))
-    assert m.cost(np.array([1 << 6 | 2, 1 << 6 | 1, 5 << 6 | 2], np.uint32)).tolist() == [10, 105, 200]
+    a, b = ord("a"), ord("b")
+    entries = [(1, a, 100), (1, b, 200), (2, a << 8 | b, 10), (-1, a, 5)]
+    m = rules.Model(rules.entry_hash(np.array([k for k, _, _ in entries]), np.array([g for _, g, _ in entries])), np.array([c for *_, c in entries]))
+    lost = round(math.log(256) / rules.UNIT)
+    assert m.cost(np.array([a << 8 | b, a << 8 | a, 5 << 8 | b, 7], np.uint64)).tolist() == [10, 105, 200, lost]
+    assert set(rules.needed(np.array([a << 8 | b], np.uint64)).tolist()) >= set(m.hashes.tolist()) - set(rules.entry_hash(1, np.array([a])).tolist())
 
 
 def test_minhash_estimates_similarity():
@@ -117,16 +122,35 @@ def test_shingles_of_short_texts():
     assert (s.set_of("A b") == s.set_of("a  B")).all() and (s.set_of("É x") != s.set_of("é x")).any()
 
 
+def _brute(x, ids, q, own, floor, k):
+    scores = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
+    best = sorted((-s, int(i)) for s, i in zip(scores, ids, strict=True) if i != own)[:k]
+    return [(i, -s) for s, i in best if -s >= floor]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.integers(1, 9), st.integers(0, 2**32 - 1))
-def test_threshold_search_equals_brute_force(n, d, seed):
+@given(st.integers(1, 400), st.integers(1, 9), st.integers(0, 2**32 - 1), st.sampled_from([20, 2**19, 2**27, 2**29]))
+def test_threshold_search_equals_brute_force(n, d, seed, size):
     rng = np.random.default_rng(seed)
-    x, ids = rng.integers(-20, 20, (n, d)), rng.permutation(n)
-    lists, q = topk.Lists(ids, x), rng.integers(-20, 20, d)
-    own = int(ids[0])
-    scores = x @ q
-    best = sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != own)[:10]
-    assert lists.search(q, own, 10) == [(i, -s) for s, i in best]
+    x, ids = rng.integers(-size, size, (n, d)), rng.permutation(n)
+    qs = rng.integers(-size, size, (3, d))
+    qs[2] = x[0]
+    lists, own = topk.Lists(ids, x), np.array([ids[0], -1, ids[0]])
+    for floor in (-np.inf, float(np.quantile((x.astype(float) @ qs[0].astype(float)), 0.9))):
+        got = lists.search(qs, own, np.full(3, floor), 10)
+        for q, mine, found in zip(qs, own, got, strict=True):
+            assert [(int(ids[j]), s) for j, s in found if s >= floor] == _brute(x, ids, q, mine, floor, 10)
+
+
+def test_search_of_huge_components_is_exact_or_an_error():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-(2**31), 2**31, (300, 2)).astype(float)
+    x[7] = (2.0**50, 3.0)
+    lists = topk.Lists(np.arange(300), x)
+    q = np.array([[1024.0, -5.0]])
+    assert lists.search(q, np.array([-1]), np.array([-np.inf]), 10)[0] == _brute(x, range(300), q[0], -1, -np.inf, 10)
+    with pytest.raises(OverflowError):
+        lists.search(np.array([[2.0**40, 0.0]]), np.array([-1]), np.array([-np.inf]), 10)
 
 
 def test_network_scores_do_not_depend_on_neighbours():
@@ -141,6 +165,23 @@ def test_network_sees_the_whole_text():
     assert (net.pooled([pad + b"*** ### ***"]) != net.pooled([pad])).any()
 
 
+def test_long_texts_in_pieces_score_as_whole(monkeypatch):
+    net, rng = quality.Network(), np.random.default_rng(4)
+    for n in (1025, 1500, 4096, 5003):
+        text = rng.choice(np.frombuffer(b"ab c*", np.uint8), n).tobytes()
+        whole = net.pooled([text])
+        monkeypatch.setattr(quality, "PIECE", 1024)
+        assert (net.pooled_long(text) == whole).all()
+        monkeypatch.undo()
+
+
+def test_every_text_is_scored_once(monkeypatch):
+    net, seen, own = quality.Network(), [], quality.Network.pooled
+    monkeypatch.setattr(quality.Network, "pooled", lambda self, texts: seen.append(len(texts)) or own(self, texts))
+    net.probabilities([b"some words here"] * 1000)
+    assert sum(seen) == 1000
+
+
 def test_classifiers_learn():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeiostrn") for _ in range(5))
@@ -166,4 +207,5 @@ def test_neutral_mentions_stay_clean():
 
 
 def test_empty_training_sets():
-    assert toxicity.Scorer(toxicity.fit([])).score("x") < 1e-6 and quality.fit([]).probabilities([b""]) != []
+    assert toxicity.Scorer(toxicity.fit([])).score("x") < 1e-6
+    assert quality.fit([]).probabilities([b"", b"some text", b"### $$$"]) == [0.5] * 3

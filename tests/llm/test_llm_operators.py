@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,14 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_long_pre_tokens_are_counted_where_they_stand(spark):
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["=" * 300 + " a", "=" * 300 + f" {'xy' * 5000}", "-" * 256, " " * 20_000 + "x"] * 3
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_bpe_round_trip(docs, none):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     got = bpe.decode(bpe.encode(docs, path), path).collect()
@@ -71,6 +80,19 @@ def test_mix_reaches_its_targets(docs, none):
     assert rows.columns == docs.columns and rows.count() == sum(len(r.draws) for r in mixed)
 
 
+def test_shards_are_found_alike_by_broadcast_and_by_join(spark, docs, monkeypatch):
+    many = docs.unionByName(spark.createDataFrame([(1000 + i, f"w{i} " * (i % 40), "en", f"s{i % 7}", 0, "", 0, "", "", 0) for i in range(700)], DOCS))
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    key = lambda: sorted((str(r.row), r.size, r.taken, str(r.draws)) for r in mixing.mix(many, 400).collect())
+    near = key()
+    assert max(d.count("shard=") for *_, d in near) == 2 and len({d for *_, d in near}) > 20
+    monkeypatch.setattr(mixing, "BROADCAST_RANGES", 0)
+    monkeypatch.setattr(mixing, "_GROUP", 4)
+    assert key() == near
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert key() == near
+
+
 def test_water_level(spark):
     sized = spark.createDataFrame([("=a", 10), ("=b", 100), ("=c", 100)], "s string, size long")
     got = {r.s: r.target for r in mixing._sources(sized).collect()}  # weights 5, 2, 1; 315 words; a stops at 20
@@ -118,20 +140,56 @@ def test_chat_digests(spark):
     assert chat.read_back(chat.format_turns(conv.where("false"), path), path).count() == 0
 
 
+def test_chat_takes_long_runs(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    text = " " * 1_000_000 + "x"
+    got = chat.read_back(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"), path), path).collect()
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(1, len(text), hashlib.sha256(text.encode()).hexdigest())]
+
+
 def test_shards_hold_every_row(spark, docs, tmp_path):
+    more = docs.withColumn("__piece", F.lit(1)).withColumn("path", F.lit("clash")).withColumn("tier", F.lit("clash"))
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fanout=2)
+    with pytest.raises(ValueError, match="nothing"):
+        store.read()
     for i in range(3):
-        store.append(docs, i)
+        store.append(more, i)
     before = store.versions()[-1]
     store.compact()
-    rows = store.read()
-    assert rows.count() == 3 * len(ROWS) and [c for c in rows.columns if c[:2] != "__"] == docs.columns
+    rows = store.read().select("row.*")
+    key = lambda df: Counter(map(str, df.collect()))
+    assert rows.columns == more.columns and key(rows) == {k: 3 * n for k, n in key(more).items()}
     assert len(store.manifest()) < 3 * 4 and store.versions()[-1] > before
-    with pytest.raises(sharding.CommitConflict):
-        store.commit([], store.versions()[-1])
+    assert key(store.read(before).select("row.*")) == key(rows)  # an older version can still be read
     last = store.manifest()
-    store.append(docs.where("false"))
+    store.append(more.where("false"))
     assert store.manifest() == last
+    sized = store.read().join(store.sizes(), "path").groupBy("path", "shard_rows").count().collect()
+    assert all(r["count"] == r.shard_rows for r in sized) and len(sized) == len(last)
+
+
+def test_one_writer_of_a_version_wins_and_orphans_go(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fanout=2)
+    store.append(docs)
+    for _ in range(2):
+        with pytest.raises(sharding.CommitConflict):
+            store.commit([], store.versions()[-1], docs.schema)
+    listed = {s.path for s in store.manifest()}
+    store._written(docs, 0)  # an attempt that ends before its commit
+    files = lambda: {f"file://{p}" for p in tmp_path.glob("s/shards/**/*.parquet")}
+    assert {p.replace("file:///", "file:/") for p in files()} > {p.replace("file:///", "file:/") for p in listed}
+    store.vacuum(store.versions()[-1])
+    assert len(files()) > len(listed)  # young ones may be about to be listed
+    store.vacuum(store.versions()[-1], orphan_seconds=-60)
+    assert len(files()) == len(listed) and store.read().count() == len(ROWS)
+    assert not list(tmp_path.glob("s/_draft*"))
+
+
+def test_a_store_of_empty_tables(spark, none, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(none)
+    store.vacuum(store.compact())
+    assert store.read().select("row.*").columns == none.columns and store.read().join(store.sizes(), "path").count() == 0
 
 
 def test_large_partitions_become_target_sized_shards(spark, tmp_path):
@@ -141,8 +199,8 @@ def test_large_partitions_become_target_sized_shards(spark, tmp_path):
     assert all(s.n_bytes < 2000 and s.tier < 2 for s in store.manifest())
     store.compact()
     assert all(s.n_bytes <= 5000 for s in store.manifest()) and sum(s.tier == 2 for s in store.manifest()) >= 8
-    got = store.read()
-    assert [c for c in got.columns if c[:2] != "__"] == rows.columns and sorted(r.doc_id for r in got.collect()) == list(range(400))
+    got = store.read().select("row.*")
+    assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == list(range(400))
 
 
 def test_rules_edges(docs, none):
@@ -167,17 +225,50 @@ def test_perplexity_rejects_planted_junk_and_keeps_clean_texts(spark):
 
 
 def test_bands_count_exact_copies_once(spark):
-    scored = [("en", ppl, 60 + i, 300, 0, 0, 0, False) for i, ppl in enumerate(range(1000, 1101, 5))]
-    kinds = "l string, log_ppl long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    scored = [("en", f"{i}", ppl, 10**9, False) for i, ppl in enumerate(range(1000, 1101, 5))]
+    kinds = "l string, h string, log_ppl long, n_bytes long, base_failed boolean"
     alone, copied = (rules.bands(spark.createDataFrame(x, kinds)).first() for x in (scored, scored + 100 * scored[:1]))
-    assert alone == copied and (alone.low, alone.high) == pytest.approx((1050 - 5 * 1.4826 * 25, 1050 + 5 * 1.4826 * 25))
+    assert alone == copied and (alone.mid, alone.low, alone.high) == pytest.approx((1050, rules.WIDTH * 1.4826 * 25, rules.WIDTH * 1.4826 * 25))
+
+
+CORPUS = ["the cat sat on the mat", "the dog sat on the cat", "a cat and a dog", "the dog sat on the cat", "nothing like it", "le chat dort"]
+
+
+def test_ngrams_count_in_other_texts(spark):
+    docs = spark.createDataFrame([("fr" if i == 5 else "en", t) for i, t in enumerate(CORPUS)], "lang string, text string")
+    grams = lambda t: {(b"\0" * 4 + t.encode())[i : i + 5] for i in range(len(t))}
+    want = Counter(g for t in set(CORPUS[:5]) for g in grams(t))
+    got = {(r.l, r.g.to_bytes(5, "big")): r.c for r in rules.ngram_counts(docs).collect()}
+    assert got == {("=en", g): n - 1 for g, n in want.items() if n > 1}
 
 
 def test_kneser_ney_sums_to_one(spark):
-    counts = rules.ngram_counts(spark.createDataFrame([("en", "the cat sat on the mat. the dog ran." * 3), ("en", "a b c")], "lang string, text string"))
-    table = rules.kneser_ney(counts).where("k = 1").collect()
-    total = sum(pow(2.718281828459045, -r.cost * rules.UNIT) for r in table)
-    assert 0.5 < total <= 1.001
+    docs = spark.createDataFrame([("en", t) for t in CORPUS], "lang string, text string")
+    counts = rules.ngram_counts(docs)
+    model = rules._packed(rules.kneser_ney(counts))["=en"]
+    contexts = {0, 1, ord("t"), *(r.g >> 8 for r in counts.collect())}
+    for ctx in [*contexts, int.from_bytes(b"xyzt", "big")]:
+        p = np.exp(-rules.UNIT * model.cost(np.array([ctx << 8 | x for x in range(256)], np.uint64)))
+        assert abs(p.sum() - 1) < 0.02, ctx
+    # By hand, of the highest order: (c - d) / total + weight * lower order.
+    top = {r.g: r.c for r in counts.collect()}
+    n = Counter(top.values())
+    y = n[1] / (n[1] + 2 * n[2])
+    d = {c: min(max(c - (c + 1) * y * n[c + 1] / n[c] if n[c] else 0.5 * c, 0.1), c - 0.1) for c in (1, 2, 3)}
+    g = next(iter(top))
+    mine = {x: c for x, c in top.items() if x >> 8 == g >> 8}
+    total, left = sum(mine.values()), sum(d[min(c, 3)] for c in mine.values())
+    lower = model.cost(np.array([(g & (1 << 32) - 1) | 255 << 32], np.uint64))[0]  # no text has byte 255
+    assert np.exp(-rules.UNIT * model.cost(np.array([g], np.uint64))[0]) == pytest.approx((top[g] - d[min(top[g], 3)]) / total + left / total * np.exp(-rules.UNIT * lower), rel=1e-3)
+
+
+def test_models_that_are_not_broadcast_score_alike(spark, docs, monkeypatch):
+    more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(100 + i, t, "en" if i % 2 else "xx") for i, t in enumerate(CORPUS * 2)], "doc_id long, text string, lang string"))
+    once = Counter(map(tuple, rules.judge(more).collect()))
+    for room in (0, 100):
+        monkeypatch.setattr(rules, "BROADCAST_ENTRIES", room)
+        monkeypatch.setattr(rules, "BLOCK_BYTES", 100)
+        assert Counter(map(tuple, rules.judge(more).collect())) == once
 
 
 def components(sets):
@@ -196,25 +287,64 @@ def components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    import random
-
-    rng = random.Random(5)
+def near_texts(groups, most, changes, seed=5):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts = [None, "", " ", "one", "One", "one two", "two one"]
-    for _ in range(12):
+    for _ in range(groups):
         base = [word() for _ in range(60)]
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.randint(1, most)):
             copy = base[:]
-            for _ in range(rng.randint(0, 6)):
+            for _ in range(rng.randint(0, changes)):
                 copy[rng.randrange(60)] = word()
             texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize(("groups", "most", "changes", "block"), [(12, 14, 6, 1024), (3, 60, 9, 4)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, groups, most, changes, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = near_texts(groups, most, changes)
     own = neardup.Shingler()
     roots = components([set(own.set_of(t or "").tolist()) for t in texts])
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, class int")
     got = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
     assert [got[i].component_id for i in range(len(texts))] == roots
     assert all(got[i].kept == (roots[i] == i) for i in got)
+    kept = neardup.kept_rows(df.unionByName(df.where("doc_id > 3"))).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(i for i, r in enumerate(roots) if r == i)
+
+
+def test_all_pairs_of_a_large_bucket_are_compared_once(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    members = [(k, i, rng.randint(0, 5) if k else i, 10, [1]) for k in (0, 1) for i in range(90)]
+    old, neardup.BLOCK = neardup.BLOCK, 7
+    rows = neardup._in_tasks(spark.createDataFrame(members, "key long, id long, label long, n long, keys array<long>")).collect()
+    neardup.BLOCK = old
+    tasks: dict = {}
+    for r in rows:
+        tasks.setdefault((r.key, r.x, r.y), []).append((r.side, r.id, r.label))
+    assert max(map(len, tasks.values())) < 60
+    met = Counter()
+    for (key, _, _), held in tasks.items():
+        two = any(side for side, *_ in held)
+        for s, i, a in held:
+            for t, j, b in held:
+                if a != b and (s < t if two else i < j):
+                    met[key, min(i, j), max(i, j)] += 1
+    labels = {(k, i): label for k, i, label, *_ in members}
+    assert met == Counter((k, i, j) for k in (0, 1) for j in range(90) for i in range(j) if labels[k, i] != labels[k, j])
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, "alone here"), (5, a)]
+    for order in (rows, rows[::-1]):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect())
+        assert got == Counter({(5, 59, 5, True): 3, (6, 60, 5, False): 1, (7, 60, 5, False): 1, (8, 1, 8, True): 1})
 
 
 def test_near_duplicate_edges(docs, none):
