@@ -9,13 +9,13 @@ The token stream of a conversation is kept as one row per turn with its offset,
 memory than its longest turn. Reading back goes through the turns in order, since a digest of a conversation is sequential.
 
 Defined cases: a null role or text is empty; a null ``turn`` comes first; rows that share conversation and turn are ordered by
-role and text, and repeated rows are turns of their own; all rows with a null ``conv_id`` are one conversation; other columns
-are ignored, whatever their names; an empty table gives an empty result.
+role and text, and repeated rows are turns of their own; all rows with a null ``conv_id`` are one conversation; texts of any length
+are encoded pre-token by pre-token, in time that grows with their length; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocellus.llm import bpe
+
 # Control strings of this template and of common others.
 CONTROLS = ["<|turn|>", "<|body|>", "<|end|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 TURN, BODY, END = CONTROLS[:3]
@@ -47,24 +49,18 @@ class Template:
     """A byte-level vocabulary plus three reserved ids right after it."""
 
     def __init__(self, path: str):
-        import tiktoken
-
-        from ocellus.llm.pretokens import PATTERN
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        top = max(ranks.values()) + 2  # one id above the ranks is taken by the vocabulary's own end mark
+        self.plain = bpe.coder(path)
+        top = max(self.plain.tokens) + 2  # one id above the ranks is taken by the vocabulary's own end mark
         self.turn, self.body, self.end = top, top + 1, top + 2
         self.names = {self.turn: TURN, self.body: BODY, self.end: END}
 
     def segments(self, role: str, text: str) -> list[list[int]]:
         """The segments of a turn, reserved ids included, each encoded on its own."""
-        enc = self.plain.encode_ordinary
+        enc = self.plain.encode
         return [[self.turn], enc(escape(role)), [self.body], enc(escape(text)), [self.end]]
 
     def decode(self, ids: list[int]) -> str:
-        return self.plain.decode_bytes(ids).decode()
+        return b"".join(map(self.plain.tokens.__getitem__, ids)).decode()
 
     def render(self, ids: list[int]) -> str:
         """The written-out form of a token stream."""
