@@ -2,11 +2,15 @@
 
 Documents of a source are dealt into blocks of about ``block_words`` words by a hash, anew for each pass over the source. What a
 source must give is then an exact quota of blocks: all blocks of its whole passes, and as many of its last, partial pass as reach
-the target; in the block where the target falls, documents are taken in hash order up to the nearest one. A splitting tree divides
-the quotas among output shards: each node gives its left half an exact share of its blocks, composed by a multivariate
+the target; in the block where the target falls, documents are taken from the longest to the shortest, each if it still fits. A
+splitting tree divides the quotas among output shards: each node gives its left half an exact share of its blocks, composed by a multivariate
 hypergeometric draw (one hypergeometric draw per source, each on what the earlier ones left), down to single shards. A shard owns
 a range of each source's permuted blocks, disjoint from every other shard's, and shuffles its documents locally.
 
+What is known of the sources is broadcast while there are at most ``BROADCAST_ROWS`` of them, and the shards' ranges while there are
+at most 40 times as many; beyond that the ranges are joined by source and group of block draws, which no hot source shares as a
+key. The sources themselves, a few numbers each, are put in order by one task.
+
 All of it is deterministic: hashes of contents stand in for random numbers, so reruns and lost executors change nothing.
 
 Defined cases: a null or wordless text has size 0 and takes part in no draw's words (it is taken as often as its block); a null
@@ -34,8 +38,8 @@ BLOCK_WORDS = 16_384
 #: Blocks also hold no more documents than this on average, so that empty texts can't pile up.
 BLOCK_DOCS = 4_096
 SHARD_WORDS = 4_000_000
-#: Most rows of the table of sources for which it is broadcast; beyond it, the join is an ordinary one.
-BROADCAST_ROWS = 20_000
+#: Most rows of the table of sources for which it is broadcast; beyond it, the join is an ordinary one. Ranges of draws: see above.
+BROADCAST_ROWS, BROADCAST_RANGES = 20_000, 800_000
 _GROUP = 1_024
 
 
@@ -190,14 +194,19 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     words = sources.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, math.ceil(words / shard_words))
     leaves = split_tree(sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quota")), shards)
-    # Of each source, where each shard's range of block draws ends: a shard is found by how many ranges end at or before a draw.
-    ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", F.col("upto").alias("end")))), lambda x: x["end"])
-    ranges = leaves.select("shard", F.posexplode(F.zip_with("first", "quota", lambda f, q: f + q)).alias("i", "upto")).groupBy("i").agg(ends.alias("ends"))
-    sources = cut_lineage(sources.join(ranges, sources["rank"] == ranges["i"] + 1).drop("i"))
-    told = _with_sources(sized(docs), sources, rows if rows * shards <= 40 * BROADCAST_ROWS else BROADCAST_ROWS + 1)
+    ranges = leaves.select("shard", F.posexplode(F.arrays_zip("first", "quota")).alias("i", "own")).select((F.col("i") + 1).alias("rank"), "shard", F.col("own.first").alias("first"), (F.col("own.first") + F.col("own.quota")).alias("end"))
+    near = rows * shards <= BROADCAST_RANGES and rows <= BROADCAST_ROWS
+    if near:
+        # Of each source, where each shard's range of block draws ends: a shard is found by how many ranges end at or before a draw.
+        ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"])
+        sources = cut_lineage(sources.join(ranges.groupBy("rank").agg(ends.alias("ends")), "rank"))
+    told = _with_sources(sized(docs), sources, rows)
     last = _block(F.col("whole"))
     extra = (F.col("rest") > 0) & ((last < F.col("last")) | ((last == F.col("last")) & F.coalesce(F.array_contains("chosen", F.col("key")), F.lit(False))))
     told = told.withColumn("times", F.col("whole") + F.when(extra, 1).otherwise(0)).withColumn("taken", F.col("size") * F.col("times"))
+    unit = lambda p: p * F.col("blocks") + _block(p)
+    if not near:
+        told = _found_by_join(told, cut_lineage(ranges), unit)
     passes = F.when(F.col("times") > 0, F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).otherwise(F.array().cast("array<bigint>"))
 
     def shard_of(unit: Column) -> Column:
@@ -207,12 +216,25 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, shards).bit_length())), start, halve, lambda a: a["lo"])
 
     def draw(p: Column) -> Column:
-        block = _block(p)
-        return F.struct(p.alias("pass"), block.alias("block"), shard_of(p * F.col("blocks") + block).alias("shard"))
+        shard = shard_of(unit(p)) if near else F.element_at("shards", (p + 1).cast("int"))
+        return F.struct(p.alias("pass"), _block(p).alias("block"), shard.alias("shard"))
 
     return told.select("row", "size", F.col("words").alias("source_size"), "target", "taken", "times", F.transform(passes, draw).alias("draws"))
 
 
+def _found_by_join(told: DataFrame, ranges: DataFrame, unit) -> DataFrame:
+    """``told`` with shards (an array by pass), from ``ranges`` (rank of the source, shard, first, end). Both sides meet by rank and group
+    of _GROUP draws, of which even a hot source has many."""
+    group = lambda x: F.floor(x / _GROUP)
+    spread = ranges.where("end > first").withColumn("g", F.explode(F.sequence(group(F.col("first")), group(F.col("end") - 1))))
+    for p in range(MOST):
+        of = spread.select(F.col("rank").alias(f"r{p}"), F.col("g").alias(f"g{p}"), F.col("first").alias(f"a{p}"), F.col("end").alias(f"z{p}"), F.col("shard").alias(f"shard{p}"))
+        told = told.withColumn(f"u{p}", F.when(F.col("times") > p, unit(F.lit(p).cast("long"))))
+        inside = (F.col(f"u{p}") >= F.col(f"a{p}")) & (F.col(f"u{p}") < F.col(f"z{p}"))
+        told = told.join(of, (F.col("rank") == F.col(f"r{p}")) & (group(F.col(f"u{p}")) == F.col(f"g{p}")) & inside, "left")
+    return told.withColumn("shards", F.array(*(f"shard{p}" for p in range(MOST))))
+
+
 def mixed_rows(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn, dealt by shard and shuffled within each."""
     drawn = mix(docs, shard_words).select("row", F.explode("draws").alias("draw"))
