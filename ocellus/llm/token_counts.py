@@ -1,8 +1,10 @@
 """Token counts of whole texts, from pre-token frequencies.
 
 Every distinct pre-token is tokenised once; documents only contribute frequencies, and no token id is kept. Frequent pre-tokens
-sit in a broadcast table of at most ``head_size`` entries, a proven bound; all others are shuffled by pre-token, counted there
-once each, and summed per document. Which pre-tokens are in the table changes the speed, never a result.
+sit in a broadcast table of at most ``head_size`` entries and HEAD_BYTES bytes, a proven bound; all others are shuffled by
+pre-token, counted there once each, and summed per document. A pre-token of a thousandth of the documents is in the table's sample
+some twenty times, so what is shuffled has no hot key. Those longer than LONG characters, hardly ever the same twice, are counted
+where they stand, once a batch, and never travel. Which pre-tokens are in the table changes the speed, never a result.
 
 Defined cases: a null text is empty (0 bytes, 0 tokens); repeated rows give one result row each; a null ``doc_id`` stays null;
 columns besides ``doc_id`` and ``text`` are ignored, whatever their names; an empty table gives an empty result.
@@ -15,16 +17,21 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.llm.batches import slices
 from ocellus.llm.pretokens import split
 
 HEAD_SIZE = 262_144
-#: Pre-tokens longer than this stay out of the broadcast table, which bounds its bytes.
-HEAD_CHARS = 64
+HEAD_BYTES = 16 << 20
+#: Pre-tokens of more characters are neither shuffled nor in the table.
+LONG = 256
+#: Bytes of texts in a batch, one text at least.
+BATCH_BYTES = 8 << 20
 #: Documents looked at to choose the table's entries.
 HEAD_DOCS = 20_000
 
@@ -79,12 +86,13 @@ def _head(docs: DataFrame, path: str, head_size: int) -> dict[str, int]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(frequencies(text or "", special)[0])
-        top = [(w, n) for w, n in seen.most_common(head_size) if len(w) <= HEAD_CHARS]
+        top = [(w, n) for w, n in seen.most_common(head_size) if len(w) <= LONG]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     seen = some.mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     rows = seen.where("n > 1").orderBy(F.desc("n"), "piece").limit(head_size).select("piece").collect()
-    words = [r[0] for r in rows]
+    size = accumulate(len(r[0].encode()) for r in rows)
+    words = [r[0] for r, n in zip(rows, size, strict=True) if n <= HEAD_BYTES]
     return dict(zip(words, pieces(words, path), strict=True))
 
 
@@ -93,21 +101,25 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_s
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(_head(docs, tokenizer_path, head_size))
-    # Rows are told apart by id and, where that can be the same for many, by a hash of the text; equal rows are counted.
-    tag = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long"))
+    tag = F.xxhash64("text")  # rows are told apart by id and a hash of the text; equal rows are counted
     names = ["doc_id", "tag", "piece", "freq", "n_bytes", "tokens", "copies"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     ddl = "doc_id long, tag long, piece string, freq long, n_bytes long, tokens long, copies long"
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, at_hand = _special(tokenizer_path), table.value
-        for batch in batches:
+        for batch in slices(batches, BATCH_BYTES):
             ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
             rows: list[tuple] = []
+            long: dict[str, int] = {}
             for doc_id, mark, text in zip(ids, tags, texts, strict=True):
                 found, tokens = frequencies(text or "", special)
                 for piece, freq in found.items():
                     n = at_hand.get(piece)
+                    if n is None and len(piece) > LONG:
+                        n = long.get(piece)
+                        if n is None:
+                            n = long[piece] = pieces([piece], tokenizer_path)[0]
                     if n is None:
                         rows.append((doc_id, mark, piece, freq, 0, 0, 0))
                     else:
