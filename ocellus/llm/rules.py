@@ -46,8 +46,12 @@ LEAST = 10
 BROADCAST_ENTRIES = 5_000_000
 #: Most rows of small tables (copied texts, discounts, bands) that are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of texts in a block, where models are not broadcast, and in a piece worked on at once.
-BLOCK_BYTES, PIECE = 64 << 20, 4 << 20
+#: Bytes of texts in a block, where models are not broadcast, and in a piece worked on at once: a byte takes up to 100 in arrays.
+BLOCK_BYTES, PIECE = 64 << 20, 1 << 20
+#: N-grams looked up at once.
+LOOKUPS = 1 << 18
+#: Rows of models in a task and in a file, where steps between them are kept.
+ENTRIES = 500_000
 #: Log probabilities are kept in this unit, as integers: sums don't depend on the order of adding.
 UNIT = 1e-4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -161,32 +165,35 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """l, k (1 to ORDER: an n-gram of that order; below 0: a context of so many symbols), g and cost (minus log probability, or minus
     log weight of the lower order, in UNIT)."""
     level = {ORDER: cut_lineage(counts)}
+    # No order or context has more rows than the highest order. Few files, since a store may start a process for each that is made.
+    parts = math.ceil(level[ORDER].count() / ENTRIES) or 1
+    kept = lambda df: cut_lineage(df.coalesce(parts))
     for k in range(ORDER - 1, 0, -1):  # lower orders count distinct symbols before
-        level[k] = cut_lineage(level[k + 1].groupBy("l", F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")))
+        level[k] = kept(level[k + 1].groupBy("l", F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")))
     met = None
     for k, rows in level.items():
         few = rows.groupBy("l").agg(*(F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4))).withColumn("k", F.lit(k))
         met = few if met is None else met.unionByName(few)
     y = "(n1 / nullif(n1 + 2 * n2, 0))"
     cut = [F.least(F.greatest(F.coalesce(F.expr(f"{i} - {i + 1} * {y} * n{i + 1} / nullif(n{i}, 0)"), F.lit(0.5 * i)), F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i in (1, 2, 3)]
-    cuts = cut_lineage(met.select("l", "k", *cut))
+    cuts = kept(met.select("l", "k", *cut))
     below, out = None, None
     for k in range(1, ORDER + 1):
         own = level[k].join(_small(cuts.where(F.col("k") == k).drop("k")), "l").withColumn("ctx", F.shiftright("g", 8))
         own = own.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         # d is 0.1 to 2.9, a few values a language: sums of equal terms hardly depend on their order, and costs are rounded.
-        contexts = cut_lineage(own.groupBy("l", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("left")).withColumn("weight", F.col("left") / F.col("total")))
+        contexts = kept(own.groupBy("l", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("left")).withColumn("weight", F.col("left") / F.col("total")))
         p = own.join(contexts, ["l", "ctx"])
         if below is None:
             p = p.withColumn("p", (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") / 256)
         else:
             low = below.select("l", F.col("g").alias("low"), F.col("p").alias("p_low"))
             p = p.withColumn("low", F.col("g").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(low, ["l", "low"]).withColumn("p", (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("p_low"))
-        below = cut_lineage(p.select("l", "g", "p"))
+        below = kept(p.select("l", "g", "p"))
         entry = below.select("l", F.lit(k).alias("k"), "g", F.round(-F.log("p") / UNIT).cast("int").alias("cost"))
         entry = entry.unionByName(contexts.select("l", F.lit(1 - k).alias("k"), F.col("ctx").alias("g"), F.round(-F.log(F.least("weight", F.lit(1.0))) / UNIT).cast("int").alias("cost")))
         out = entry if out is None else out.unionByName(entry)
-    return out
+    return out.coalesce(2 * parts)
 
 
 def entry_hash(k, g: np.ndarray) -> np.ndarray:
@@ -220,6 +227,10 @@ class Model:
 
     def cost(self, code: np.ndarray) -> np.ndarray:
         """Cost of each n-gram's last symbol after the others."""
+        parts = [self._cost(code[i : i + LOOKUPS]) for i in range(0, len(code), LOOKUPS)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _cost(self, code: np.ndarray) -> np.ndarray:
         total = np.zeros(len(code), np.int64)
         todo, g = np.arange(len(code)), code
         for k in range(ORDER, 0, -1):

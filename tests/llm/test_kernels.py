@@ -103,6 +103,18 @@ def test_unseen_ngrams_back_off():
     assert set(rules.needed(np.array([a << 8 | b], np.uint64)).tolist()) >= set(m.hashes.tolist()) - set(rules.entry_hash(1, np.array([a])).tolist())
 
 
+def test_lookups_take_little_memory():
+    import tracemalloc
+
+    code = np.random.default_rng(5).integers(0, 1 << 40, 1 << 21, dtype=np.uint64)
+    m = rules.Model(np.unique(rules.entry_hash(5, code[::2])), np.ones(len(np.unique(code[::2])), np.int32))
+    tracemalloc.start()
+    found = m.cost(code)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[::2] == 1).all() and len(found) == len(code) and peak < 5 * code.nbytes
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))

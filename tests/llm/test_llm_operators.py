@@ -262,6 +262,19 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.exp(-rules.UNIT * model.cost(np.array([g], np.uint64))[0]) == pytest.approx((top[g] - d[min(top[g], 3)]) / total + left / total * np.exp(-rules.UNIT * lower), rel=1e-3)
 
 
+def test_a_small_model_is_kept_in_few_files(spark, monkeypatch):
+    files, cut = [], rules.cut_lineage
+    monkeypatch.setattr(rules, "cut_lineage", lambda df: files.append(cut(df)) or files[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = cut(rules.ngram_counts(spark.createDataFrame([("en", t) for t in CORPUS], "lang string, text string")))
+        files.clear()
+        assert rules.kneser_ney(counts).rdd.getNumPartitions() <= 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 10 and all(df.rdd.getNumPartitions() == 1 for df in files[1:])
+
+
 def test_models_that_are_not_broadcast_score_alike(spark, docs, monkeypatch):
     more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(100 + i, t, "en" if i % 2 else "xx") for i, t in enumerate(CORPUS * 2)], "doc_id long, text string, lang string"))
     once = Counter(map(tuple, rules.judge(more).collect()))
