@@ -7,9 +7,11 @@ with one of 0.05 shares one with a probability of 3e-6.
 
 Equal sets are one class from the start, so groups of copies of any size cost one row. Buckets of up to ``SMALL`` classes give
 all their pairs as candidates, larger ones only pairs with their smallest class; after these have been verified and connected,
-larger buckets that still hold different components compare the pairs between those within the bucket, as far as enough of their
-partial keys agree. For that a bucket is cut into blocks of about ``BLOCK`` classes and each pair of blocks is a task of its own;
-classes of the bucket's largest component are only compared with the others. Every link is confirmed on the full sets.
+the classes of larger buckets that still hold different components meet again, now by each partial key of the first collection:
+whoever shares a bucket shares one of those, and a class has KEYS of them, where it may be in KEYS**2 buckets. Such a group compares
+the pairs between its components, as far as enough of their partial keys agree. For that it is cut into blocks of about ``BLOCK``
+classes and each pair of blocks is a task of its own; classes of the group's largest component are only compared with the others.
+Every link is confirmed on the full sets.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a null ``doc_id`` takes part in no link, has
 a null component and is kept; rows that share an id but not their words are documents of their own, told apart by their class,
@@ -32,7 +34,7 @@ from ocellus.runtime import cut_lineage, sweep
 
 KEYS, HASHES = 14, 3
 SMALL = 8
-#: In larger buckets, pairs across components need so many of the 2 * KEYS partial keys to agree; linked ones share 14 on average, and fewer
+#: In those groups, pairs across components need so many of the 2 * KEYS partial keys to agree; linked ones share 14 on average, and fewer
 #: than these with a probability of 2e-5.
 AGREE = 4
 #: Percent of the union that two linked sets share at least.
@@ -40,7 +42,7 @@ PERCENT = 80
 WORDS = 2
 #: Members compared with one copy of a center's text in one task.
 MEMBERS = 128
-#: Classes of a large bucket in a block.
+#: Classes of a group in a block.
 BLOCK = 1024
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -187,8 +189,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 def _candidates(key: int, side: np.ndarray, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one task's classes to compare: of either side (all, if there is one side), of different components, of sizes that
-    allow a link, with AGREE partial keys in common at least, and with this bucket as the first that they share, so that no other
-    bucket gives the pair again."""
+    allow a link, with AGREE partial keys in common at least, some of either collection, and with this group's as the first that they
+    share, so that no other group gives the pair again."""
     step = max(1, 1_000_000 // len(ids))
     two = bool(side.any())
     for i in range(0, len(ids), step):
@@ -202,7 +204,7 @@ def _candidates(key: int, side: np.ndarray, ids: np.ndarray, labels: np.ndarray,
             same = keys[a] == keys[b]
             keep = same.sum(1) >= AGREE
             a, b, same = a[keep], b[keep], same[keep]
-            first = _mix(keys[a, same[:, :KEYS].argmax(1)] * _C1 + keys[a, KEYS + same[:, KEYS:].argmax(1)])
+            first = keys[a, same[:, :KEYS].argmax(1)]
             own = (first == np.uint64(key & (2**64 - 1))) & same[:, :KEYS].any(1) & same[:, KEYS:].any(1)
             if own.any():
                 yield a[own], b[own]
@@ -242,8 +244,16 @@ def _in_tasks(members: DataFrame) -> DataFrame:
     return placed.withColumn("block", block).withColumn("spot", F.explode(spots)).select("key", "spot.x", "spot.y", "spot.side", *[c for c in members.columns if c != "key"])
 
 
+def _groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """key (a partial key of the first collection), id, label, n and keys of ``classes`` (id, n, keys), where a key has several components."""
+    told = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    by_key = told.withColumn("key", F.explode(F.slice("keys", 1, KEYS)))
+    mixed = by_key.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
+    return by_key.join(mixed, "key").select("key", "id", "label", "n", "keys")
+
+
 def _linked_across(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (u, v) between different components in buckets with ``members`` (key, id, label, n, keys). Pairs are never rows: first the
+    """Links (u, v) between different components in groups with ``members`` (key, id, label, n, keys). Pairs are never rows: first the
     members with anything to compare are found, then their texts meet in their tasks and are compared there."""
 
     def arrays(held: list[tuple], n: int) -> list[np.ndarray]:
@@ -368,7 +378,8 @@ def placed(docs: DataFrame) -> DataFrame:
     large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = cut_lineage(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"))
     if not mixed.isEmpty():
-        links = links.unionByName(cut_lineage(_linked_across(own, owners, large.join(mixed, "key").join(classes.select("id", "n", "keys"), "id"))))
+        left = cut_lineage(classes.select("id", "n", "keys").join(large.join(mixed, "key").select("id").distinct(), "id"))
+        links = links.unionByName(cut_lineage(_linked_across(own, owners, _groups(left, labels))))
         sweep(docs.sparkSession)
         labels = components(links)
     linked = classes.select("id", "doc_id").join(labels, "id")

@@ -351,6 +351,16 @@ def test_all_pairs_of_a_large_bucket_are_compared_once(spark):
     assert met == Counter((k, i, j) for k in (0, 1) for j in range(90) for i in range(j) if labels[k, i] != labels[k, j])
 
 
+def test_a_class_in_many_mixed_buckets_is_dealt_once_a_partial_key(spark, monkeypatch):
+    texts, dealt, deal = near_texts(3, 60, 9), [], neardup._in_tasks
+    monkeypatch.setattr(neardup, "_in_tasks", lambda members: dealt.append(members) or deal(members))
+    roots = components([set(neardup.Shingler().set_of(t or "").tolist()) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(roots))
+    rows = dealt[0].groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).collect()
+    assert len(rows) > 50 and all(r.n == r.keys <= neardup.KEYS for r in rows)
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(6)
     a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(2))
