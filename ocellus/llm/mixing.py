@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocellus.runtime import cut_lineage
+from ocellus.runtime import cut_lineage, few
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their names, repeating.
@@ -165,13 +165,14 @@ def plan(docs: DataFrame) -> tuple[DataFrame, int]:
     narrow = cut_lineage(sized(docs).select("s", "size", "key"))
     sources = cut_lineage(_sources(narrow))
     rows = sources.count()
+    kept = lambda df: cut_lineage(few(df, 100 * rows))  # noqa: E731  a source is more work than a document
     known = _with_sources(narrow, sources, rows).where("rest > 0").withColumn("b", _block(F.col("whole")))
     blocks = known.groupBy("s", "b").agg(F.sum("size").alias("n"), F.first("rest").alias("rest")).withColumn("g", F.expr(f"b div {_GROUP}"))
     groups = blocks.groupBy("s", "g").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("n").over(Window.partitionBy("s", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
     ends = blocks.withColumn("within", within).join(groups.select("s", "g", before.alias("before")), ["s", "g"]).withColumn("end", F.col("before") + F.col("within"))
-    crossing = cut_lineage(ends.where("end > rest").groupBy("s").agg(F.min_by("b", "end").alias("b"), F.min_by(F.col("rest") - F.col("end") + F.col("n"), "end").alias("bound")))
+    crossing = kept(ends.where("end > rest").groupBy("s").agg(F.min_by("b", "end").alias("b"), F.min_by(F.col("rest") - F.col("end") + F.col("n"), "end").alias("bound")))
     # The one block of each source in which the target falls: from its longest document to its shortest, take what still fits. Rows
     # with equal keys are equal documents and share a decision.
     edge = known.select("s", "b", "size", "key").where("size > 0").join(F.broadcast(crossing) if rows <= BROADCAST_ROWS else crossing, ["s", "b"])
@@ -184,7 +185,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, int]:
     told = told.withColumn("last", F.coalesce("last", F.when(F.col("rest") > 0, F.col("blocks")).otherwise(F.lit(0))))
     told = told.withColumn("chosen", F.when(F.size("chosen") > 0, F.col("chosen")))
     quota = F.col("whole") * F.col("blocks") + F.col("last") + F.col("chosen").isNotNull().cast("long")
-    return cut_lineage(told.withColumn("quota", quota)), rows
+    return kept(told.withColumn("quota", quota)), rows
 
 
 def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -199,7 +200,7 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     if near:
         # Of each source, where each shard's range of block draws ends: a shard is found by how many ranges end at or before a draw.
         ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"])
-        sources = cut_lineage(sources.join(ranges.groupBy("rank").agg(ends.alias("ends")), "rank"))
+        sources = cut_lineage(few(sources.join(ranges.groupBy("rank").agg(ends.alias("ends")), "rank"), 100 * rows))
     told = _with_sources(sized(docs), sources, rows)
     last = _block(F.col("whole"))
     extra = (F.col("rest") > 0) & ((last < F.col("last")) | ((last == F.col("last")) & F.coalesce(F.array_contains("chosen", F.col("key")), F.lit(False))))

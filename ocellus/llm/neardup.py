@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.runtime import cut_lineage, sweep
+from ocellus.runtime import cut_lineage, few, sweep
 
 KEYS, HASHES = 14, 3
 SMALL = 8
@@ -44,6 +44,8 @@ WORDS = 2
 MEMBERS = 128
 #: Classes of a group in a block.
 BLOCK = 1024
+#: Most rows of the table of rejected and repeated documents for which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -334,10 +336,10 @@ def _texts(docs: DataFrame, owners: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(asked.join(owners, "id"), ["doc_id", "h"])
 
 
-def _single(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, h, text) with one row of those that agree in id and text, and none without an id."""
+def _single(docs: DataFrame, told: DataFrame, total: int) -> DataFrame:
+    """``docs`` (doc_id, h, text; ``total`` rows) with one row of those that agree in id and text, and none without an id."""
     docs = docs.where("doc_id is not null")
-    again = cut_lineage(told.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    again = cut_lineage(few(told.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), total))
     if again.isEmpty():
         return docs
     once = docs.join(again, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
@@ -347,46 +349,49 @@ def _single(docs: DataFrame, told: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id and label (smallest id of its component) of every id in ``links`` (u, v), by passing on smallest labels and following
     them; both ways aggregate before they shuffle."""
-    both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
+    rows = 2 * links.count()
+    kept = lambda df: cut_lineage(few(df, rows))
+    both = kept(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("m"))
         passed = labels.join(near, labels["id"] == near["u"]).select("id", F.least("label", "m").alias("next"), "label")
         up = passed.select(F.col("id").alias("at"), F.col("next").alias("further"))
-        moved = cut_lineage(passed.join(up, passed["next"] == up["at"], "left").select("id", "label", F.least("next", "further").alias("next")))
+        moved = kept(passed.join(up, passed["next"] == up["at"], "left").select("id", "label", F.least("next", "further").alias("next")))
         labels, changed = moved.select("id", F.col("next").alias("label")), moved.where("next < label").limit(1).count()
         if not changed:
             return labels
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, h (hash of its text), n_shingles, component_id and kept."""
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Per row of ``docs``: doc_id, h (hash of its text), n_shingles, component_id and kept; and how many rows there are."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     told = cut_lineage(_described(docs))
+    total, shingles = told.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     some = told.where("doc_id is not null and class is not null")
     first = F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("n"), "keys")).alias("x")
     # A class has a number of its own: an id may stand for rows of several classes.
-    classes = cut_lineage(some.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("id"), "class", "copies", "x.*"))
+    classes = cut_lineage(few(some.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies")), total).select(F.monotonically_increasing_id().alias("id"), "class", "copies", "x.*"))
     owners = classes.select("id", "doc_id", "h")
-    found = cut_lineage(_buckets(classes))
+    found = cut_lineage(few(_buckets(classes), total * KEYS * KEYS / 100))  # a row of a bucket is a hundredth of a document's work
+    size = found.count()
     sweep(docs.sparkSession)
     pairs = found.where("key is null").select("u", "v").distinct()
-    own = _single(docs, told)
-    links = cut_lineage(_confirmed(own, owners, pairs))
+    own = _single(docs, told, total)
+    links = cut_lineage(few(_confirmed(own, owners, pairs), max(total, size, shingles / 256)))
     sweep(docs.sparkSession)
     labels = components(links)
     large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = cut_lineage(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"))
+    mixed = cut_lineage(few(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"), size))
     if not mixed.isEmpty():
-        left = cut_lineage(classes.select("id", "n", "keys").join(large.join(mixed, "key").select("id").distinct(), "id"))
+        left = cut_lineage(few(classes.select("id", "n", "keys").join(large.join(mixed, "key").select("id").distinct(), "id"), max(total, size)))
         links = links.unionByName(cut_lineage(_linked_across(own, owners, _groups(left, labels))))
         sweep(docs.sparkSession)
         labels = components(links)
     linked = classes.select("id", "doc_id").join(labels, "id")
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = linked.join(smallest, "label").select("id", "component_id")
-    known = cut_lineage(classes.join(of_class, "id", "left").select("class", "copies", F.coalesce("component_id", "doc_id").alias("component_id")))
-    total = told.count()
+    known = cut_lineage(few(classes.join(of_class, "id", "left").select("class", "copies", F.coalesce("component_id", "doc_id").alias("component_id")), total))
     # At most 1,000 classes have a thousandth of the rows each; all others are small enough to meet in one task.
     often = F.col("copies") * 1000 >= F.lit(max(total, 1_000_000))
     hot = [r["class"] for r in known.where(often).select("class").collect()]
@@ -397,18 +402,22 @@ def placed(docs: DataFrame) -> DataFrame:
     else:
         joined = narrow.join(known, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), total
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
-    return placed(docs).drop("h")
+    rows, total = placed(docs)
+    return few(rows.drop("h"), total)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they are, one of each group: of rows that agree in id and text one stays, too."""
     where = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
-    told = cut_lineage(placed(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept"))
+    rows, total = placed(docs)
+    told = cut_lineage(few(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept"), total))
+    if told.count() <= BROADCAST_ROWS:
+        told = F.broadcast(told)
     rest = docs.join(told, where, "left_anti")
     again = told.where("kept")
     if again.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 import zipfile
@@ -77,6 +78,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that is kept for each of its files.
+ROWS_A_FILE = 10_000
+
+
+def few(df: DataFrame, rows: float) -> DataFrame:
+    """``df`` in no more partitions than so many rows need. Each partition of a table that is kept or returned is a file, and for each file
+    on a store without Hadoop's native code an executor starts a process, which for a moment shows all the executor's memory as its own.
+    ``rows`` is what the last step works on, so that partitions grow in number with it."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files and checkpoints of finished steps: it only learns that nothing refers to them when the
     driver collects its garbage. For jobs of many steps, between those that move much data."""

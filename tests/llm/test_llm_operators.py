@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ocellus.llm import bpe, chat, mixing, neardup, quality, rules, sharding, token_counts, topk, toxicity
+from ocellus.runtime import few
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, size long, s string, label string, kept int"
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -370,6 +371,48 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
         assert got == Counter({(5, 59, 5, True): 3, (6, 60, 5, False): 1, (7, 60, 5, False): 1, (8, 1, 8, True): 1})
 
 
+def files_kept(spark, monkeypatch, module, run, most):
+    """How many files each of a step's tables is kept in, with ``most`` shuffle partitions that aren't coalesced."""
+    files, cut, size = [], module.cut_lineage, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(module, "cut_lineage", lambda df: files.append(cut(df)) or files[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(most))
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return [df.rdd.getNumPartitions() for df in files]
+
+
+def test_few_partitions_grow_with_rows(spark):
+    spread = spark.range(100).repartition(40)
+    assert [few(spread, n).rdd.getNumPartitions() for n in (0, 1, 10_000, 10_001, 250_000, 10**9)] == [1, 1, 1, 2, 25, 40]
+
+
+def test_small_tables_are_kept_in_few_files(spark, monkeypatch):
+    texts = near_texts(3, 60, 9)
+    df = spark.createDataFrame([(i, t, "en", "a" if i % 3 else "b") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).cache()
+    kept = files_kept(spark, monkeypatch, neardup, lambda: neardup.kept_rows(df).count(), 24)
+    assert len(kept) > 8 and sorted(kept)[-2] <= 2  # links across a large group's blocks stay as they are dealt
+    assert max(files_kept(spark, monkeypatch, rules, lambda: rules.kept_rows(df).count(), 24)) <= 2
+    assert set(files_kept(spark, monkeypatch, mixing, lambda: mixing.mix(df).count(), 24)) == {1}
+    df.unpersist()
+
+
+def test_rejected_rows_are_told_without_a_shuffle_of_texts(spark, monkeypatch):
+    texts = near_texts(4, 12, 6)
+    df = spark.createDataFrame([*enumerate(texts), *list(enumerate(texts))[20:]], "doc_id long, text string").coalesce(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = neardup.kept_rows(df)
+        assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+        assert sorted(near.collect(), key=str) == sorted(neardup.kept_rows(df).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_near_duplicate_edges(docs, none):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS) and neardup.near_duplicates(none).count() == 0
