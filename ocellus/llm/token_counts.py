@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ocellus.llm.batches import slices
 from ocellus.llm.pretokens import split
+from ocellus.runtime import few
 
 HEAD_SIZE = 262_144
 HEAD_BYTES = 16 << 20
@@ -76,9 +77,8 @@ def pieces(words: list[str], path: str) -> list[int]:
     return [len(e.ids) for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)] if words else []
 
 
-def _head(docs: DataFrame, path: str, head_size: int) -> dict[str, int]:
-    """Frequent short pre-tokens with their counts. Only a choice of what to keep at hand: results don't depend on it."""
-    total = docs.count()
+def _head(docs: DataFrame, total: int, path: str, head_size: int) -> dict[str, int]:
+    """Frequent short pre-tokens of ``total`` rows with their counts. Only a choice of what to keep at hand: results don't depend on it."""
     some = docs.select("text").sample(min(1.0, HEAD_DOCS / max(total, 1)), seed=7)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_s
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(_head(docs, tokenizer_path, head_size))
+    total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    table = spark.sparkContext.broadcast(_head(docs, total, tokenizer_path, head_size))
     tag = F.xxhash64("text")  # rows are told apart by id and a hash of the text; equal rows are counted
     names = ["doc_id", "tag", "piece", "freq", "n_bytes", "tokens", "copies"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -149,7 +150,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_s
     rows = docs.select("doc_id", tag.alias("tag"), "text").mapInArrow(known, ddl)
     dealt = rows.repartition(F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "tag")).otherwise(F.xxhash64("piece"))).sortWithinPartitions("piece")
     parts = dealt.mapInArrow(resolve, "doc_id long, tag long, n_bytes long, tokens long, copies long")
-    sums = parts.groupBy("doc_id", "tag").agg(*(F.sum(c).alias(c) for c in ("n_bytes", "tokens", "copies")))
+    sums = few(parts.groupBy("doc_id", "tag").agg(*(F.sum(c).alias(c) for c in ("n_bytes", "tokens", "copies"))), max(total, size / 2048))
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     n = F.expr("tokens div copies")
     return each.select("doc_id", F.expr("n_bytes div copies").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ocellus import runtime
 from ocellus.llm import bpe, chat, mixing, neardup, quality, rules, sharding, token_counts, topk, toxicity
 from ocellus.runtime import few
 
@@ -400,6 +401,17 @@ def test_small_tables_are_kept_in_few_files(spark, monkeypatch):
     df.unpersist()
 
 
+def test_token_counts_come_in_few_files(spark, docs, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"))
+        assert counts.rdd.getNumPartitions() == 1 and counts.count() == len(ROWS)
+        monkeypatch.setattr(runtime, "ROWS_A_FILE", 20)  # a long text is the work of many short ones
+        assert token_counts.count_tokens(docs, P.path("byte_bpe_50k.json")).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rejected_rows_are_told_without_a_shuffle_of_texts(spark, monkeypatch):
     texts = near_texts(4, 12, 6)
     df = spark.createDataFrame([*enumerate(texts), *list(enumerate(texts))[20:]], "doc_id long, text string").coalesce(2)
