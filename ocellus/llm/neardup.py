@@ -6,10 +6,11 @@ price of 2 * KEYS * HASHES minhashes. A pair with a similarity of 0.8 shares no
 with one of 0.05 shares one with a probability of 3e-6.
 
 Equal sets are one class from the start, so groups of copies of any size cost one row. Buckets of up to ``SMALL`` classes give
-all their pairs as candidates, larger ones only pairs with their smallest class; after these have been verified and connected,
-the classes of larger buckets that still hold different components meet again, now by each partial key of the first collection:
-whoever shares a bucket shares one of those, and a class has KEYS of them, where it may be in KEYS**2 buckets. Such a group compares
-the pairs between its components, as far as enough of their partial keys agree. For that it is cut into blocks of about ``BLOCK``
+all their pairs as candidates, larger ones only pairs with their smallest class; of a class in larger buckets, one row tells which of
+its partial keys of the first collection these have. After the candidates have been verified and connected, such classes meet again
+by each of those partial keys: whoever shares a bucket shares one of them, and a class has KEYS of them at most, where it may be in
+KEYS**2 buckets. A group that still holds different components compares the pairs between them, as far as enough of their partial
+keys agree; a pair that isn't together in the group of the first partial key it shares has met in a small bucket. For that it is cut into blocks of about ``BLOCK``
 classes and each pair of blocks is a task of its own; classes of the group's largest component are only compared with the others.
 Every link is confirmed on the full sets.
 
@@ -135,13 +136,16 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """Of the tables' buckets with two classes or more: candidate pairs (u, v; key null) and, for large buckets, members (key, v)."""
+    """Of the tables' buckets with two classes or more: candidate pairs (u, v; mask null) and, once for each class v in large buckets, u null
+    and mask, a bit for each of its partial keys of the first collection that a large bucket has."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                keys = table_keys(np.array(part.column(2).flatten()).view(np.uint64).reshape(-1, 2 * KEYS)).view(np.int64)
+                keys = table_keys(np.array(part.column(2).flatten()).view(np.uint64).reshape(-1, 2 * KEYS)).reshape(-1, KEYS, KEYS)
+                # Which partial key of the first collection it is: in the last four bits, so that it needs no column.
+                keys = (keys & ~np.uint64(15) | np.arange(KEYS, dtype=np.uint64)[:, None]).view(np.int64)
                 ids, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), KEYS * KEYS) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(n)], ["key", "id", "n"])
 
@@ -163,7 +167,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[], [], []]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "mask"])
 
         for batch in batches:
             for key, i, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -176,17 +180,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 else:
                     if count == SMALL + 1:
                         for x in held:
-                            out.append((None, x[0], key))
+                            out.append((None, x[0], 1 << (key & 15)))
                         for x in held[1:]:
                             pair(held[0], x)
-                    out.append((None, i, key))
+                    out.append((None, i, 1 << (key & 15)))
                     pair(held[0], (i, n))
             yield flush()
         close()
         yield flush()
 
     rows = classes.select("id", "n", "keys").mapInArrow(emit, "key long, id long, n long")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, "u long, v long, key long")
+    found = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, "u long, v long, mask long")
+    return found.groupBy("u", "v").agg(F.bit_or("mask").alias("mask"))
 
 
 def _candidates(key: int, side: np.ndarray, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,11 +234,11 @@ def _tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[t
 
 def _in_tasks(members: DataFrame) -> DataFrame:
     """``members`` (key, id, label, ...) once for each pair of blocks that they are in: x and y, the blocks, and side, 1 for a member of
-    the second of two blocks."""
+    the second of two blocks. Groups of one component have nothing to compare and go."""
     own = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     most = own.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK))
-    cut = most.select("key", F.col("top.label").alias("major"), blocks(F.col("top.m")).alias("majors"), blocks(F.col("total") - F.col("top.m")).alias("minors"))
+    cut = most.where("total > top.m").select("key", F.col("top.label").alias("major"), blocks(F.col("top.m")).alias("majors"), blocks(F.col("total") - F.col("top.m")).alias("minors"))
     placed = members.join(cut, "key").withColumn("of_major", F.col("label") == F.col("major"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("of_major"), F.col("majors")).otherwise(F.col("minors")))
     spot = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
@@ -246,17 +251,16 @@ def _in_tasks(members: DataFrame) -> DataFrame:
     return placed.withColumn("block", block).withColumn("spot", F.explode(spots)).select("key", "spot.x", "spot.y", "spot.side", *[c for c in members.columns if c != "key"])
 
 
-def _groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """key (a partial key of the first collection), id, label, n and keys of ``classes`` (id, n, keys), where a key has several components."""
-    told = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    by_key = told.withColumn("key", F.explode(F.slice("keys", 1, KEYS)))
-    mixed = by_key.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
-    return by_key.join(mixed, "key").select("key", "id", "label", "n", "keys")
+def _groups(large: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """key (a partial key of the first collection), id and label of the classes in ``large`` (id, mask), once for each bit of their mask."""
+    told = large.join(classes.select("id", "keys"), "id").join(labels, "id", "left")
+    of_large = F.expr(f"filter(slice(keys, 1, {KEYS}), (x, i) -> getbit(mask, i) = 1)")
+    return told.select(F.explode(of_large).alias("key"), "id", F.coalesce("label", "id").alias("label"))
 
 
-def _linked_across(docs: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (u, v) between different components in groups with ``members`` (key, id, label, n, keys). Pairs are never rows: first the
-    members with anything to compare are found, then their texts meet in their tasks and are compared there."""
+def _linked_across(docs: DataFrame, owners: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (u, v) between different components in groups with ``members`` (key, id, label) of ``classes`` (id, n, keys). Pairs are never
+    rows: first the members with anything to compare are found, then their texts meet in their tasks and are compared there."""
 
     def arrays(held: list[tuple], n: int) -> list[np.ndarray]:
         return [np.array([h[c] for h in held], np.int64) for c in range(n)]
@@ -296,7 +300,7 @@ def _linked_across(docs: DataFrame, owners: DataFrame, members: DataFrame) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     place, order = ["key", "x", "y"], ["key", "x", "y", "side", "id"]
-    dealt = _in_tasks(members).select(*order, "label", "n", "keys").repartition(*place).sortWithinPartitions(*order)
+    dealt = _in_tasks(members).join(classes.select("id", "n", "keys"), "id").select(*order, "label", "n", "keys").repartition(*place).sortWithinPartitions(*order)
     asked = dealt.mapInArrow(involved, "key long, x long, y long, side long, id long, label long").groupBy("id").agg(F.collect_list(F.struct(*place, "side", "label")).alias("asked"))
     texts = _texts(docs, owners, asked).select("id", "text", F.explode("asked").alias("a")).select("a.key", "a.x", "a.y", "a.side", "id", "a.label", "text")
     return texts.repartition(*place).sortWithinPartitions(*order).mapInArrow(compare, "u long, v long")
@@ -373,19 +377,18 @@ def placed(docs: DataFrame) -> tuple[DataFrame, int]:
     # A class has a number of its own: an id may stand for rows of several classes.
     classes = cut_lineage(few(some.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies")), total).select(F.monotonically_increasing_id().alias("id"), "class", "copies", "x.*"))
     owners = classes.select("id", "doc_id", "h")
-    found = cut_lineage(few(_buckets(classes), total * KEYS * KEYS / 100))  # a row of a bucket is a hundredth of a document's work
+    found = cut_lineage(few(_buckets(classes), total))
     size = found.count()
     sweep(docs.sparkSession)
-    pairs = found.where("key is null").select("u", "v").distinct()
+    pairs = found.where("mask is null").select("u", "v")
     own = _single(docs, told, total)
     links = cut_lineage(few(_confirmed(own, owners, pairs), max(total, size, shingles / 256)))
     sweep(docs.sparkSession)
     labels = components(links)
-    large = found.where("key is not null").select("key", F.col("v").alias("id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = cut_lineage(few(large.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key"), size))
-    if not mixed.isEmpty():
-        left = cut_lineage(few(classes.select("id", "n", "keys").join(large.join(mixed, "key").select("id").distinct(), "id"), max(total, size)))
-        links = links.unionByName(cut_lineage(_linked_across(own, owners, _groups(left, labels))))
+    large = found.where("mask is not null").select(F.col("v").alias("id"), "mask")
+    members = cut_lineage(few(_groups(large, classes, labels), max(total, size)))
+    if not members.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").isEmpty():
+        links = links.unionByName(cut_lineage(_linked_across(own, owners, classes, members)))
         sweep(docs.sparkSession)
         labels = components(links)
     linked = classes.select("id", "doc_id").join(labels, "id")

@@ -363,6 +363,30 @@ def test_a_class_in_many_mixed_buckets_is_dealt_once_a_partial_key(spark, monkey
     assert len(rows) > 50 and all(r.n == r.keys <= neardup.KEYS for r in rows)
 
 
+def test_a_class_in_many_large_buckets_is_one_row(spark, monkeypatch):
+    import numpy as np
+
+    found, groups, buckets, grouped = [], [], neardup._buckets, neardup._groups
+    monkeypatch.setattr(neardup, "_buckets", lambda classes: found.append((classes, buckets(classes))) or found[0][1])
+    monkeypatch.setattr(neardup, "_groups", lambda *tables: groups.append(grouped(*tables)) or groups[0])
+    neardup.near_duplicates(spark.createDataFrame(list(enumerate(near_texts(3, 60, 9))), "doc_id long, text string")).collect()
+    classes, members = found[0][0].collect(), {}
+    keys, sizes = {r.id: r["keys"] for r in classes}, {r.id: r.n for r in classes}
+    for i, k in keys.items():
+        for b, key in enumerate(neardup.table_keys(np.array([k]).view(np.uint64))[0].tolist()):
+            members.setdefault((b // neardup.KEYS, key), []).append(i)
+    large = {(i, a) for (a, _), ids in members.items() if len(ids) > neardup.SMALL for i in ids}
+    rows = found[0][1].collect()
+    got = {r.v: r["mask"] for r in rows if r.u is None}
+    assert len(got) > 50 and len(rows) == len({(r.u, r.v) for r in rows})
+    assert {(i, a) for i, bits in got.items() for a in range(64) if bits >> a & 1} == large
+    assert Counter((r.id, r.key) for r in groups[0].collect()) == Counter((i, keys[i][a]) for i, a in large)
+    pairs = {(min(r.u, r.v), max(r.u, r.v)) for r in rows if r.u is not None}
+    for i, j in {(i, j) for ids in members.values() for i in ids for j in ids if i < j}:  # whoever shares a bucket meets where it is asked for
+        first = next(a for a in range(neardup.KEYS) if keys[i][a] == keys[j][a])
+        assert (i, j) in pairs or {(i, first), (j, first)} <= large or 100 * min(sizes[i], sizes[j]) < 80 * max(sizes[i], sizes[j])
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(6)
     a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(2))
